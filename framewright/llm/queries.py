@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
+from .mixing import op3_source_mixing
+from .ngram_join import op4_ngram_jaccard_join
 from .tables import table
+from .token_store import op2_token_store
 
 
 def queries() -> dict:
+    def over(operator, *names):
+        return lambda spark, sf_dir: operator(*(table(spark, sf_dir, n) for n in names))
+
     return {
-        "op7_language_id": lambda spark, d: op7_language_id(table(spark, d, "documents")),
+        "op2_token_store": over(op2_token_store, "documents"),
+        "op3_source_mixing": over(op3_source_mixing, "documents"),
+        "op4_ngram_jaccard_join": over(op4_ngram_jaccard_join, "documents"),
+        "op6_benchmark_decontamination": over(op6_benchmark_decontamination, "documents", "benchmark"),
+        "op7_language_id": over(op7_language_id, "documents"),
     }
 
 
