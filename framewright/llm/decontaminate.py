@@ -163,14 +163,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, c
 
 
 def _clean(sent, coverage: float):
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         good = np.ones(len(texts), bool)
-        for row, _ in judge(pa.Array.from_pandas(texts, pa.large_string()), sent.value, coverage):
+        for row, _ in judge(texts, sent.value, coverage):
             good[row] = False
-        return pd.Series(good)
+        return pa.array(good)
 
     return clean
 

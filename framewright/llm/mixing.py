@@ -30,14 +30,12 @@ LEAST_BLOCKS = 200
 SHARDS = 16
 
 
-@F.pandas_udf(LongType())
-def n_words(texts):
-    import pandas as pd
-
+@F.arrow_udf(LongType())
+def n_words(texts: pa.Array) -> pa.Array:
     sizes = np.zeros(len(texts), np.int64)
-    for row, end, data, offsets in X.pieces(pa.Array.from_pandas(texts, pa.large_string())):
+    for row, end, data, offsets in X.pieces(texts):
         sizes[row:end] = np.bincount(X.word_spans(data, offsets)[2], minlength=end - row)
-    return pd.Series(sizes)
+    return pa.array(sizes)
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

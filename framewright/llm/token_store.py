@@ -30,7 +30,7 @@ from .tables import cut, shared_dir
 from .textops import mix
 
 MAGIC = b"IDSHARD1"
-HEADER = struct.Struct("<8sIIQ")  # magic, bytes of an id, 0, ids
+HEADER = "<8sIIQ"  # magic, bytes of an id, 0, ids
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1000
 #: Distinct pieces of text whose ids a worker remembers; beyond that it starts afresh.
@@ -99,7 +99,7 @@ class PerfectHash:
 
     @staticmethod
     def place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(hashes + np.uint64(level + 1) * np.uint64(0xD1B54A32D192ED03)) % np.uint64(size)).astype(np.int64)
+        return (mix(hashes + np.uint64((level + 1) * 0xD1B54A32D192ED03 % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, hashes: np.ndarray, load: float = 1.6) -> PerfectHash:
@@ -179,7 +179,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             return
         out.close()
         with store.open_output_stream(f"{path}/{name}.head") as head:
-            head.write(HEADER.pack(MAGIC, coder.kind.itemsize, 0, sum(sizes)))
+            head.write(struct.pack(HEADER, MAGIC, coder.kind.itemsize, 0, sum(sizes)))
         occurrence = np.zeros(len(keys), np.int64)
         for i in range(1, len(keys)):
             occurrence[i] = occurrence[i - 1] + 1 if keys[i] == keys[i - 1] else 0
@@ -240,7 +240,7 @@ def read_ids(entries: DataFrame, folder: str) -> DataFrame:
         store, path = _files(folder)
         name = rows["shard"].iloc[0]
         with store.open_input_stream(f"{path}/{name}.head") as head:
-            magic, width, _, _ = HEADER.unpack(head.read())
+            magic, width, _, _ = struct.unpack(HEADER, head.read())
         if magic != MAGIC:
             raise ValueError(f"{name} is no shard of ids")
         rows = rows.sort_values("first")
