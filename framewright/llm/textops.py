@@ -106,5 +106,9 @@ def windows(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, n
     return at, span_hash(hashes, at, at + k)
 
 
-def text_of(column: pa.Array, i: int) -> str:
-    return column[i].as_py() or ""
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of equal values."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return starts, np.append(starts[1:], len(values))
