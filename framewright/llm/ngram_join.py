@@ -141,7 +141,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool) -> DataFrame:
     """(a, b) of pairs whose sets overlap enough; each set is rebuilt once from its whole text."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp"), "wanted")
+    sides = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
+    wanted = cut(sides.join(classes.select("fp", "rep"), "fp"), "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,15 +179,27 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = cut(full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
     pairs = cut(candidates(classes, percent), "pairs")
     names = classes.select("fp", "rep")
-    links = verified(pairs, classes, docs, doc_id, text, k, percent, lower).join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    def links(some: DataFrame, node: DataFrame) -> DataFrame:
+        found = verified(some, classes, docs, doc_id, text, k, percent, lower)
+        return found.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
     # rows that repeat a doc_id tie their classes together
     same = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("c > 1 and f <> g").select("doc_id").join(full.select("doc_id", "fp"), "doc_id").join(names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(same))
-    labels = cut(names.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
+    # each class's first partner either way joins most of a group; then only pairs between different components are left
+    near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
+    tied = _named(names, components(links(cut(near, "near"), names).union(same)), "tied")
+    open_ = pairs.join(tied.toDF("a", "x"), "a").join(tied.toDF("b", "y"), "b").where("x <> y").select("a", "b")
+    labels = _named(tied, components(links(cut(open_, "open"), tied)), "labels").toDF("fp", "component_id")
     rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "fp").join(labels, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
 
 
+def _named(names: DataFrame, found: DataFrame, table: str) -> DataFrame:
+    """(fp, rep) with rep replaced by its component."""
+    return cut(names.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("rep")), table)
+
+
 def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     return similar_documents(docs, k=3, percent=90)
 

@@ -8,6 +8,7 @@ from .mixing import op3_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .tables import table
 from .token_store import op2_token_store
+from .window_dedup import op8_window_dedup
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_ngram_jaccard_join": over(op4_ngram_jaccard_join, "documents"),
         "op6_benchmark_decontamination": over(op6_benchmark_decontamination, "documents", "benchmark"),
         "op7_language_id": over(op7_language_id, "documents"),
+        "op8_window_dedup": over(op8_window_dedup, "documents"),
     }
 
 
