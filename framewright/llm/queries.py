@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .cap_filters import op10_cap_filters
 from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
 from .mixing import op3_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .tables import table
 from .token_store import op2_token_store
+from .url_filter import OP9_SQL, op9_url_filter
 from .window_dedup import op8_window_dedup
 
 
@@ -22,8 +24,10 @@ def queries() -> dict:
         "op6_benchmark_decontamination": over(op6_benchmark_decontamination, "documents", "benchmark"),
         "op7_language_id": over(op7_language_id, "documents"),
         "op8_window_dedup": over(op8_window_dedup, "documents"),
+        "op9_url_filter": over(op9_url_filter, "pages"),
+        "op10_cap_filters": over(op10_cap_filters, "embeddings"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
