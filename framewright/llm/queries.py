@@ -8,6 +8,7 @@ from .language_id import op7_language_id
 from .mixing import op3_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .tables import table
+from .pii import op1_pii
 from .token_store import op2_token_store
 from .url_filter import OP9_SQL, op9_url_filter
 from .window_dedup import op8_window_dedup
@@ -18,6 +19,7 @@ def queries() -> dict:
         return lambda spark, sf_dir: operator(*(table(spark, sf_dir, n) for n in names))
 
     return {
+        "op1_pii": over(op1_pii, "documents"),
         "op2_token_store": over(op2_token_store, "documents"),
         "op3_source_mixing": over(op3_source_mixing, "documents"),
         "op4_ngram_jaccard_join": over(op4_ngram_jaccard_join, "documents"),
