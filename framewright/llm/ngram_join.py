@@ -116,14 +116,38 @@ def needed_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): distinct pairs of fingerprints that pass the prefix, length, positional and suffix filters."""
+def _reach(n: str, pos: str, m: str, place: str, percent: int) -> Column:
+    """Length and positional filter of two classes that meet on a shingle."""
+    longer = F.greatest(n, m) * percent <= F.least(n, m) * 100
+    return longer & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) >= needed_overlap(F.col(n), F.col(m), percent))
+
+
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """(gram, fp, n, pos, lead): postings of shingles in two prefixes or more, with the first class (n, fp, pos) of each."""
     postings = _postings(classes)
-    x, y = (postings.select("gram", *(F.col(c).alias(c + s) for c in ("fp", "n", "pos"))) for s in "ab")
-    longer = F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
-    reach = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    met = x.join(y, "gram").where((F.col("fpa") < F.col("fpb")) & longer & (reach >= needed_overlap(F.col("na"), F.col("nb"), percent)))
-    pairs = met.groupBy(F.col("fpa").alias("a"), F.col("fpb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    first = postings.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return cut(postings.join(first, "gram"), "postings")
+
+
+def with_first(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, m): each class with the first class of each of its shingles; linear in the postings."""
+    flat = met.select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
+    pairs = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent))
+    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+
+
+def across(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, m): pairs of classes that meet on a shingle and are not in one component yet."""
+    named = cut(met.select("gram", "fp", "n", "pos").join(tied, "fp"), "named")
+    mixed = named.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("gram")
+    left = cut(named.join(mixed, "gram", "left_semi"), "mixed")
+    x, y = (left.select("gram", *(F.col(c).alias(c + s) for c in ("fp", "n", "pos", "rep"))) for s in ("", "_"))
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("rep") < F.col("rep_")) & _reach("n", "pos", "n_", "pos_", percent))
+    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that pass the suffix filter."""
     parts = classes.select("fp", "parts")
     both = pairs.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
 
@@ -136,7 +160,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         p, q = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), PARTS) for v in (pa_, pb_))
         return pd.Series(np.minimum(p, q).sum(1, dtype=np.int64))
 
-    return both.where(shared("pa", "pb") >= needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return both.where(shared("pa", "pb") >= needed_overlap(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool) -> DataFrame:
@@ -177,7 +201,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     signed = cut(signatures(docs, doc_id, text, k, percent, lower), "signed")
     full = signed.where("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
-    pairs = cut(candidates(classes, percent), "pairs")
+    met = shared_postings(classes)
     names = classes.select("fp", "rep")
 
     def links(some: DataFrame, node: DataFrame) -> DataFrame:
@@ -186,11 +210,11 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     # rows that repeat a doc_id tie their classes together
     same = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("c > 1 and f <> g").select("doc_id").join(full.select("doc_id", "fp"), "doc_id").join(names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # each class's first partner either way joins most of a group; then only pairs between different components are left
-    near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
-    tied = _named(names, components(links(cut(near, "near"), names).union(same)), "tied")
-    open_ = pairs.join(tied.toDF("a", "x"), "a").join(tied.toDF("b", "y"), "b").where("x <> y").select("a", "b")
-    labels = _named(tied, components(links(cut(open_, "open"), tied)), "labels").toDF("fp", "component_id")
+    # the first class of each shingle joins most of a group; then only pairs between different components are left
+    near = cut(likely(with_first(met, percent), classes, percent), "near")
+    tied = _named(names, components(links(near, names).union(same)), "tied")
+    far = cut(likely(across(met, tied, percent), classes, percent), "far")
+    labels = _named(tied, components(links(far, tied)), "labels").toDF("fp", "component_id")
     rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "fp").join(labels, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
 
