@@ -13,11 +13,14 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,11 @@ MAGIC = b"IDSHARD1"
 HEADER = "<8sIIQ"  # magic, bytes of an id, 0, ids
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1000
-#: Distinct pieces of text whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Distinct words with what is glued to them, and distinct tokenizer words, whose ids a worker remembers; beyond that it
+#: starts afresh.
+REMEMBERED, REMEMBERED_WORDS = 700_000, 800_000
+#: Fixed value: the tokenizer's own cut of a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 2
 _SINGLE = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
 _DOUBLE = re.compile("[\\s\u180e\u200b\ufeff]{2}")
@@ -45,36 +51,73 @@ class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer, as little-endian bytes.
 
     The tokenizer cuts a text before every single blank between two other characters, and ids of a part between cuts
-    do not depend on what surrounds it. So each distinct part goes to the tokenizer once, and its ids are remembered.
+    do not depend on what surrounds it. Parts are cut further into the tokenizer's words, where all characters are Latin,
+    and each distinct word goes to the tokenizer once; its ids are remembered.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        shape = json.loads(self.tokenizer.to_str())
+        first = shape.get("pre_tokenizer") or {}
+        #: Other tokenizers than byte-level BPE get whole texts.
+        self.by_words = shape["model"]["type"] == "BPE" and not shape.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+        special = "|".join(re.escape(t["content"]) for t in shape["added_tokens"])
+        self.special = re.compile(special) if special else None
+        self.model, self.cut = self.tokenizer.model, regex.compile(WORDS).findall
+        # byte-level BPE writes printable bytes as themselves and numbers the others from 256 on
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for a in range(0, len(texts), 5000):
+            for e in self.tokenizer.encode_batch_fast(texts[a : a + 5000], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        letters = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.kind.char, [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        ids = self.words[word] = ids.tobytes()
+        return ids
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts that follow a blank."""
+        known, words, cut, special, strange = self.known, self.words, self.cut, self.special, []
+        for x in parts:
+            if (x.isascii() or max(x) < "\u0250") and not (special and special.search(x)):
+                own = cut(" " + x)
+                known[x] = b"".join([words.get(w) or self._word(w) for w in own])
+            else:
+                strange.append(x)
+        known.update(zip(strange, self._whole([" " + x for x in strange]), strict=True))
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        parts, fresh = [], set()
+        end = np.array([end_id], self.kind).tobytes()
+        if not self.by_words:
+            return [ids + end for ids in self._whole(texts)]
+        heads, parts, fresh = [], [], set()
         for text in texts:
-            if text[:1] == " " or _DOUBLE.search(text):
-                cuts = _SINGLE.split(text)
-            else:
-                cuts = text.split(" ")
-            own = [cuts[0], *[" " + c for c in cuts[1:]]]
+            own = _SINGLE.split(text) if text[:1] == " " or _DOUBLE.search(text) else text.split(" ")
+            heads.append(own[0])
+            del own[0]
             parts.append(own)
             fresh.update(own)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = [x for x in fresh if x not in self.known]
-        for a in range(0, len(fresh), 5000):
-            some = fresh[a : a + 5000]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, self.kind).tobytes()
-        end = np.array([end_id], self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) + end for own in parts]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        self._learn([x for x in fresh if x not in self.known])
+        return [first + b"".join(map(self.known.__getitem__, own)) + end for first, own in zip(self._whole(heads), parts, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
