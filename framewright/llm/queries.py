@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_repeats import op5_byte_repeats
 from .cap_filters import op10_cap_filters
 from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op2_token_store": over(op2_token_store, "documents"),
         "op3_source_mixing": over(op3_source_mixing, "documents"),
         "op4_ngram_jaccard_join": over(op4_ngram_jaccard_join, "documents"),
+        "op5_byte_repeats": over(op5_byte_repeats, "documents"),
         "op6_benchmark_decontamination": over(op6_benchmark_decontamination, "documents", "benchmark"),
         "op7_language_id": over(op7_language_id, "documents"),
         "op8_window_dedup": over(op8_window_dedup, "documents"),
