@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from . import repeat_filter as R
 from . import textops as X
 from .components import components
 from .tables import cut
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
 SKETCH = 1 << 16
-PARTS = 128
+PARTS = 64
 
 
 def _sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -80,7 +82,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lo
             n, fp, prefix, parts = [], [], [], []
             for _, edges, hashes in _sets(batch.column(1), k, lower):
                 keys = level.value[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)] | hashes >> np.uint64(8)
-                part = (hashes >> np.uint64(57)).astype(np.int64)
+                part = (hashes >> np.uint64(58)).astype(np.int64)
                 other = X.mix(hashes)
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     n.append(b - a)
@@ -96,20 +98,46 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lo
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, fp binary, prefix binary, parts binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(gram, fp, n, pos): one row per shingle of each class's prefix."""
+def _class_number(fp: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[:8] for x in fp), np.int64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                grams = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-                sizes = [len(g) for g in grams]
-                row = pa.array(np.repeat(np.arange(len(grams)), sizes), pa.int64())
-                place = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else place, pa.int64()), part.column(0).take(row), part.column(1).take(row), pa.array(place, pa.int64())], ["gram", "fp", "n", "pos"])
 
-    return classes.select("fp", "n", "prefix").mapInArrow(spread, "gram long, fp binary, n long, pos long")
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """(gram, fp, n, pos, lead): postings of shingles in two prefixes or more, with the first class (n, fp, pos) of each.
+
+    Which shingles these are is found on packed hashes, so that shingles of one class never become rows.
+    """
+    splits = R.splits(classes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0)
+    rows = classes.select("fp", "n", "prefix")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = R.Blocks(splits, R.SHARED)
+        for batch in batches:
+            grams = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            if grams:
+                yield from blocks.add(X.mix(np.concatenate(grams)), np.repeat(_class_number(batch.column(0).to_pylist()), [len(g) for g in grams]))
+        yield from blocks.end()
+
+    @F.arrow_udf(LongType())
+    def bucket(fp: pa.Array) -> pa.Array:
+        return pa.array(R.bucket_of(_class_number(fp.to_pylist()), splits))
+
+    def spread(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known, fp = R.known_keys(found), rows.column("fp").combine_chunks()
+        grams = [np.frombuffer(x, np.int64) for x in rows.column("prefix").to_pylist()]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        row = np.repeat(np.arange(len(grams)), sizes)
+        gram = np.concatenate(grams) if grams else row
+        keep = np.flatnonzero(R.among(R.answer_keys(X.mix(gram.view(np.uint64)), _class_number(fp.to_pylist())[row]), known)) if len(row) else row
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pick = pa.array(row[keep], pa.int64())
+        return pa.table({"gram": pa.array(gram[keep], pa.int64()), "fp": fp.take(pick), "n": rows.column("n").combine_chunks().take(pick), "pos": pa.array(place[keep], pa.int64())})
+
+    replies = R.answers(rows.mapInArrow(send, R.ASK), splits, splits, R.SHARED)
+    dealt = rows.withColumn("bucket", bucket("fp")).groupBy("bucket")
+    met = cut(dealt.cogroup(replies.groupBy("bucket")).applyInArrow(spread, "gram long, fp binary, n long, pos long"), "postings")
+    first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
+    return cut(met.join(first, "gram"), "led")
 
 
 def needed_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -122,13 +150,6 @@ def _reach(n: str, pos: str, m: str, place: str, percent: int) -> Column:
     return longer & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) >= needed_overlap(F.col(n), F.col(m), percent))
 
 
-def shared_postings(classes: DataFrame) -> DataFrame:
-    """(gram, fp, n, pos, lead): postings of shingles in two prefixes or more, with the first class (n, fp, pos) of each."""
-    postings = _postings(classes)
-    first = postings.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return cut(postings.join(first, "gram"), "postings")
-
-
 def with_first(met: DataFrame, percent: int) -> DataFrame:
     """(a, b, n, m): each class with the first class of each of its shingles; linear in the postings."""
     flat = met.select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
@@ -163,9 +184,11 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(shared("pa", "pb") >= needed_overlap(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool) -> DataFrame:
-    """(a, b) of pairs whose sets overlap enough; each set is rebuilt once from its whole text."""
+def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, lower: bool) -> DataFrame:
+    """(fp, shingles) of all classes in pairs: those in `have`, and the others from their whole texts."""
     sides = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
+    if have is not None:
+        sides = sides.join(have.select("fp"), "fp", "left_anti")
     wanted = cut(sides.join(classes.select("fp", "rep"), "fp"), "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +202,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str,
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
-    sets = cut(chosen.select("text").mapInArrow(build, "fp binary, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    built = chosen.select("text").mapInArrow(build, "fp binary, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = cut(built, "sets")
+    return sets if have is None else sets.union(have)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs whose sets overlap enough."""
 
     @F.pandas_udf("boolean")
     def linked(x, y):
@@ -204,17 +233,19 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     met = shared_postings(classes)
     names = classes.select("fp", "rep")
 
-    def links(some: DataFrame, node: DataFrame) -> DataFrame:
-        found = verified(some, classes, docs, doc_id, text, k, percent, lower)
+    def links(some: DataFrame, sets: DataFrame, node: DataFrame) -> DataFrame:
+        found = verified(some, sets, percent)
         return found.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # rows that repeat a doc_id tie their classes together
     same = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("c > 1 and f <> g").select("doc_id").join(full.select("doc_id", "fp"), "doc_id").join(names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # the first class of each shingle joins most of a group; then only pairs between different components are left
     near = cut(likely(with_first(met, percent), classes, percent), "near")
-    tied = _named(names, components(links(near, names).union(same)), "tied")
+    sets = rebuilt_sets(near, None, classes, docs, doc_id, text, k, lower)
+    tied = _named(names, components(links(near, sets, names).union(same)), "tied")
     far = cut(likely(across(met, tied, percent), classes, percent), "far")
-    labels = _named(tied, components(links(far, tied)), "labels").toDF("fp", "component_id")
+    sets = rebuilt_sets(far, sets, classes, docs, doc_id, text, k, lower)
+    labels = _named(tied, components(links(far, sets, tied)), "labels").toDF("fp", "component_id")
     rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "fp").join(labels, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
 

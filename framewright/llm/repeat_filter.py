@@ -23,7 +23,7 @@ SPLIT_BYTES = 2 << 20
 BLOCK = 2_000_000
 ASK = "part long, blob binary"
 ANSWER = "bucket long, blob binary"
-EARLIER, REPEATED = "earlier", "repeated"
+EARLIER, REPEATED, SHARED = "earlier", "repeated", "shared"
 _ASKED, _KNOWN, _ANSWERED = 0, 1, 2
 
 
@@ -70,9 +70,13 @@ def ask(hashes: np.ndarray, ids: np.ndarray, parts: int, rule: str, turn: int) -
     """One block's rows for `answers`.
 
     rule EARLIER: is there the hash in a row of a smaller id? rule REPEATED: does the hash come twice or more?
+    rule SHARED: does the hash come with two ids or more?
     """
     order = np.lexsort((ids, hashes))
     h, d = hashes[order], ids[order]
+    if rule == SHARED and len(h):
+        once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+        h, d = h[once], d[once]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
     if rule == EARLIER:
@@ -131,11 +135,14 @@ def answers(asked: DataFrame, parts: int, buckets: int, rule: str) -> DataFrame:
             k, h, d = map(np.concatenate, (kinds, hashes, ids))
             order = np.lexsort((d, h))
             k, h, d = k[order], h[order], d[order]
+            if rule == SHARED:  # the same id again, from another block
+                once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (k[1:] != k[:-1]))
+                k, h, d = k[once], h[once], d[once]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
             run = np.cumsum(first) - 1
             start = np.flatnonzero(first)
-            hit = d > d[start][run] if rule == EARLIER else (k == _ASKED) & ((np.diff(np.append(start, len(h)))[run] > 1) | (k[start][run] == _KNOWN))
+            hit = d > d[start][run] if rule == EARLIER else (k == _ASKED) & ((np.diff(np.append(start, len(h)))[run] > 1) | (np.bincount(run, k == _KNOWN)[run] > 0))
             keys.append(answer_keys(h[hit] << np.uint64(8), d[hit])), owners.append(d[hit])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         to = bucket_of(owners, buckets)
