@@ -190,22 +190,26 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = cut(asked.groupBy("part").applyInArrow(lambda t: _settle(t, splits), R.ANSWER), "stretches")
     dealt = rows.withColumn("bucket", R.bucket("doc_id", splits))
 
+    # few strings are asked for: a bucket's go to fewer parts, so that lists stay long
+    parts = max(1, splits // 8)
+
     def ask_strings(rows: pa.Table, found: pa.Table) -> pa.Table:
         known, out, turn = R.known_keys(found), [], 0
         for _, _, _, _, ids, s in _pieces(rows, width, gram):
             partly = R.among(_keys(s.anchor, s.content, ids, PARTLY), known)
             lead = R.among(_keys(s.anchor, s.content, ids, FIRST), known)
-            # a whole stretch's strings are sent twice: known to repeat
             starts, stretch = s.strings(np.flatnonzero(partly | lead))
-            again = lead[stretch]
-            hashes, owner = (s.string_hashes(starts), ids[stretch]) if len(starts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            turn += 1
             if len(starts):
-                out.append(R.ask(np.concatenate([hashes, hashes[again]]), np.concatenate([owner, owner[again]]), splits, R.REPEATED, turn))
-        return pa.Table.from_batches(out) if out else pa.table({"part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+                # a whole stretch's strings are sent twice: known to repeat
+                again, hashes, owner = lead[stretch], s.string_hashes(starts), ids[stretch]
+                out.append((np.concatenate([hashes, hashes[again]]), np.concatenate([owner, owner[again]])))
+                turn = int(owner[0]) % parts
+        if not out:
+            return pa.table({"part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        return pa.Table.from_batches([R.ask(*map(np.concatenate, zip(*out, strict=True)), parts, R.REPEATED, turn)])
 
     strings = dealt.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(ask_strings, R.ASK)
-    replies = first.union(R.answers(strings, splits, splits, R.REPEATED))
+    replies = first.union(R.answers(strings, parts, splits, R.REPEATED))
     name = "kept_sha256" if digest else "kept"
 
     def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
