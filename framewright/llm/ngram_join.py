@@ -27,7 +27,7 @@ from pyspark.sql.types import LongType
 from . import repeat_filter as R
 from . import textops as X
 from .components import components
-from .tables import cut
+from .tables import cut, sent_if_few
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
 SKETCH = 1 << 16
@@ -201,7 +201,7 @@ def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, d
                     sets.append(hashes[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(sent_if_few(wanted.select("rep")), "rep", "left_semi")
     built = chosen.select("text").mapInArrow(build, "fp binary, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     sets = cut(built, "sets")
     return sets if have is None else sets.union(have)
@@ -261,5 +261,12 @@ def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near-duplicates (the smallest doc_id); rows with a null doc_id stay."""
-    keep = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    found = cut(similar_documents(docs), "found")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(sent_if_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = sent_if_few(again)
+    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(single)

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids (8 bytes each) that a join may send to every executor; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +31,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """ids (one column of numbers, already written), to be broadcast where there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
