@@ -131,8 +131,7 @@ class Cascade:
 
 def _one_at(bit: Column) -> Column:
     """1 << (bit % 64) for a bit that differs by row."""
-    ones = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    return F.element_at(ones, (bit % 64).cast("int") + 1)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
