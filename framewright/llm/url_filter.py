@@ -32,7 +32,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 #: Bits per key from level 1 on, and at least on level 0.
-BITS_PER_KEY = 6
+BITS_PER_KEY = 12
 SHARD_KEYS = 50_000
 BROADCAST_WORDS = 1_000_000
 MOST_LEVELS = 60
@@ -67,9 +67,9 @@ def _hashes(bits_per_key: int) -> int:
 
 
 class Cascade:
-    """Exact membership of the keys of one universe: (bits per key, table of shards) for each level."""
+    """Exact membership of the keys of one universe: (keys, bits per key, table of shards) for each level."""
 
-    def __init__(self, levels: list[tuple[int, DataFrame]], shards: int):
+    def __init__(self, levels: list[tuple[int, int, DataFrame]], shards: int):
         self.levels, self.shards = levels, shards
 
     @classmethod
@@ -82,13 +82,14 @@ class Cascade:
         others = universe.select("key").distinct().join(inside.select("key"), "key", "left_anti")
         outside = cut(others.withColumn("shard", shard_of(F.col("key"), shards)), "outside")
         first = max(BITS_PER_KEY, ceil(1.44 * log2(max(2, outside.count()) / max(1, n_listed)))) if n_listed else BITS_PER_KEY
-        levels: list[tuple[int, DataFrame]] = []
+        levels: list[tuple[int, int, DataFrame]] = []
         while len(levels) < MOST_LEVELS:
             even = len(levels) % 2 == 0
             held, rest = (inside, outside) if even else (outside, inside)
-            if held.isEmpty():
+            n, bits = held.count(), BITS_PER_KEY if levels else first
+            if not n:
                 return cls(levels, shards)
-            levels.append((BITS_PER_KEY if levels else first, cut(cls._encode(held, len(levels), BITS_PER_KEY if levels else first), "level")))
+            levels.append((n, bits, cut(cls._encode(held, len(levels), bits), "level")))
             passed = cut(cls._pass(rest, len(levels) - 1, *levels[-1]).where("_hit").select("key", "shard"), "passed")
             inside, outside = (inside, passed) if even else (passed, outside)
         raise RuntimeError(f"a cascade of {MOST_LEVELS} levels still passes keys by mistake")
@@ -109,9 +110,9 @@ class Cascade:
         return filled.select("shard", "bits", F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
 
     @classmethod
-    def _pass(cls, keys: DataFrame, level: int, bits_per_key: int, table: DataFrame) -> DataFrame:
+    def _pass(cls, keys: DataFrame, level: int, n: int, bits_per_key: int, table: DataFrame) -> DataFrame:
         """keys (key, shard, ...) with _hit: does this level pass the key?"""
-        small = (table.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
+        small = n * bits_per_key / 64 <= BROADCAST_WORDS
         table = table.withColumnRenamed("shard", "_shard")
         joined = keys.join(F.broadcast(table) if small else table, F.col("shard") == F.col("_shard"), "left")
         hit = F.col("bits").isNotNull()
