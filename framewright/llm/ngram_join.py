@@ -103,7 +103,7 @@ def _class_number(fp: list[bytes]) -> np.ndarray:
 
 
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """(gram, fp, n, pos, lead): postings of shingles in two prefixes or more, with the first class (n, fp, pos) of each.
+    """(gram, fp, n, pos): postings of shingles in two prefixes or more.
 
     Which shingles these are is found on packed hashes, so that shingles of one class never become rows.
     """
@@ -135,9 +135,7 @@ def shared_postings(classes: DataFrame) -> DataFrame:
 
     replies = R.answers(rows.mapInArrow(send, R.ASK), splits, splits, R.SHARED)
     dealt = rows.withColumn("bucket", bucket("fp")).groupBy("bucket")
-    met = cut(dealt.cogroup(replies.groupBy("bucket")).applyInArrow(spread, "gram long, fp binary, n long, pos long"), "postings")
-    first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
-    return cut(met.join(first, "gram"), "led")
+    return cut(dealt.cogroup(replies.groupBy("bucket")).applyInArrow(spread, "gram long, fp binary, n long, pos long"), "postings")
 
 
 def needed_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -152,7 +150,8 @@ def _reach(n: str, pos: str, m: str, place: str, percent: int) -> Column:
 
 def with_first(met: DataFrame, percent: int) -> DataFrame:
     """(a, b, n, m): each class with the first class of each of its shingles; linear in the postings."""
-    flat = met.select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
+    first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
+    flat = met.join(first, "gram").select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
     pairs = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent))
     return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
 
