@@ -148,12 +148,25 @@ def _reach(n: str, pos: str, m: str, place: str, percent: int) -> Column:
     return longer & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) >= needed_overlap(F.col(n), F.col(m), percent))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+
+
 def with_first(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, m): each class with the first class of each of its shingles; linear in the postings."""
+    """(a, b, n, m): each class with the one class that comes first on most of its shingles; at most one row a class."""
     first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
     flat = met.join(first, "gram").select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
-    pairs = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent))
-    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+    led = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent)).groupBy("fp", "n", "fp_", "n_").agg(F.count("*").alias("c"))
+    best = led.groupBy("fp", "n").agg(F.max(F.struct("c", "fp_", "n_")).alias("best"))
+    return _ordered(best.select("fp", "n", "best.fp_", "best.n_"))
+
+
+def with_any_first(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, m): each class with the first class of each of its shingles, where that is in another component."""
+    named = met.join(tied, "fp")
+    first = named.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos", "rep")).alias("lead"))
+    flat = named.join(first, "gram").select("fp", "n", "pos", "rep", *(F.col(f"lead.{c}").alias(f"{c}_") for c in ("fp", "n", "pos", "rep")))
+    return _ordered(flat.where("rep <> rep_").where(_reach("n", "pos", "n_", "pos_", percent)))
 
 
 def across(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
@@ -162,8 +175,7 @@ def across(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     mixed = named.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("gram")
     left = cut(named.join(mixed, "gram", "left_semi"), "mixed")
     x, y = (left.select("gram", *(F.col(c).alias(c + s) for c in ("fp", "n", "pos", "rep"))) for s in ("", "_"))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("rep") < F.col("rep_")) & _reach("n", "pos", "n_", "pos_", percent))
-    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+    return _ordered(x.join(y, (x["gram"] == y["gram"]) & (F.col("rep") < F.col("rep_")) & _reach("n", "pos", "n_", "pos_", percent)))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -238,13 +250,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     # rows that repeat a doc_id tie their classes together
     same = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("c > 1 and f <> g").select("doc_id").join(full.select("doc_id", "fp"), "doc_id").join(names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # the first class of each shingle joins most of a group; then only pairs between different components are left
-    near = cut(likely(with_first(met, percent), classes, percent), "near")
-    sets = rebuilt_sets(near, None, classes, docs, doc_id, text, k, lower)
-    tied = _named(names, components(links(near, sets, names).union(same)), "tied")
-    far = cut(likely(across(met, tied, percent), classes, percent), "far")
-    sets = rebuilt_sets(far, sets, classes, docs, doc_id, text, k, lower)
-    labels = _named(tied, components(links(far, sets, tied)), "labels").toDF("fp", "component_id")
+    # one partner a class joins most of a group; then first classes, then all pairs, only between different components
+    tied, sets = names, None
+    for meet in (lambda: with_first(met, percent), lambda: with_any_first(met, tied, percent), lambda: across(met, tied, percent)):
+        some = cut(likely(meet(), classes, percent), "pairs")
+        sets = rebuilt_sets(some, sets, classes, docs, doc_id, text, k, lower)
+        found = links(some, sets, tied)
+        tied = _named(tied, components(found.union(same) if tied is names else found), "tied")
+    labels = tied.toDF("fp", "component_id")
     rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "fp").join(labels, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
 
