@@ -173,6 +173,25 @@ def j1_missing(spark, d):
     return M.resolve_split(keys, m, "report").select("class_idx", "sample_idx")
 
 
+def _all_keys(manifest: DataFrame) -> DataFrame:
+    """Every (class_idx, sample_idx) of the manifest, and each once more past its class's end, where there is no file."""
+    sizes = manifest.groupBy("class_idx").agg(F.count("*").cast("int").alias("n"))
+    there = manifest.select("class_idx", "sample_idx")
+    return there.unionByName(there.join(F.broadcast(sizes), "class_idx").select("class_idx", (F.col("sample_idx") + F.col("n")).alias("sample_idx")))
+
+
+@query("j1_resolve_split_whole", f"SELECT sample_id, class_name, class_idx, sample_idx FROM ({MANIFEST})")
+def j1_whole(spark, d):
+    m = _manifest(spark, d)
+    return M.resolve_split(_all_keys(m), m).select("sample_id", "class_name", "class_idx", "sample_idx")
+
+
+@query("j1_missing_files_whole", f"SELECT class_idx, CAST(sample_idx + count(*) OVER (PARTITION BY class_idx) AS INTEGER) AS sample_idx FROM ({MANIFEST})")
+def j1_missing_whole(spark, d):
+    m = _manifest(spark, d)
+    return M.resolve_split(_all_keys(m), m, "report").select("class_idx", "sample_idx")
+
+
 @query("j2_used_classes", f"SELECT sample_id, class_name, class_idx, sample_idx FROM ({MANIFEST}) WHERE class_name IN (SELECT class_name FROM t_split WHERE split = 'val')", SPLIT)
 def j2(spark, d):
     m = _manifest(spark, d)
