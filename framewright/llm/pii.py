@@ -3,9 +3,10 @@
 Base detectors give exact spans of four kinds. High-recall generators propose further, overlapping spans: written-out
 or bracketed mail addresses, numbers in groups with any separators, addresses with odd dots. Boosted trees score each
 candidate by its format and context. They learn from candidates that a strict check can label (mail addresses with a plain
-domain, parts up to 255, check digits, digit counts) against proposals that fail it; the check itself is no feature. The
-threshold is the lowest score from which at least PRECISION of the calibration candidates are right; where there is
-none, nothing is added. Candidates from it on are taken by score, those that overlap a base span or a better
+domain, parts up to 255, check digits, digit counts after a plus) against proposals that fail it; the check itself is no
+feature. Numbers without a plus and spelled-out addresses have no label. The trees are fitted on at most TRAIN_ROWS of the
+labelled candidates; all others calibrate. The threshold is the lowest score from which at least PRECISION of these are
+right; where there is none, nothing is added. Candidates from it on are taken by score, those that overlap a base span or a better
 candidate are dropped. Base spans always stay.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are judged each on its own; without candidates
@@ -38,7 +39,7 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[ ._-]{0,2}[0-9]{3,6}){2,4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])[+(]{0,2}[0-9]{1,4}[)]?(?:[ .-]{1,2}[(]?[0-9]{2,5}[)]?){2,4}(?![0-9A-Za-z])",
 }
-#: At most so many labelled candidates train and calibrate, those with the smallest hash of row and span.
+#: At most so many labelled candidates fit the trees, those with the smallest hash of doc_id, text and span.
 TRAIN_ROWS = 20_000
 PRECISION = 0.98
 CONTEXT = 24
@@ -141,12 +142,13 @@ def label() -> Column:
     """What a strict check says of a candidate: 1, 0, or null where it cannot tell."""
     m, kind = F.col("match"), F.col("kind")
     plain = m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
-    written = m.rlike(r"(?i)[(\[{](at|dot)[)\]}]")
+    # "met at noon. Then" ends a sentence; "bob at host dot org" and "bob at host.org" may be addresses
+    sentence = ~m.rlike(r"(?i)[(\[{](at|dot)[)\]}]| dot ") & ~m.contains("@") & m.rlike(r"[^ ]\. ")
     return (
-        F.when(kind == "email", F.when(plain, 1.0).when(~written & ~m.contains("@"), 0.0))
+        F.when(kind == "email", F.when(plain, 1.0).when(sentence, 0.0))
         .when(kind == "ip", F.when(m.rlike(r"^[0-9.]+$"), strict(kind, m).cast("double")))
         .when(kind == "card", strict(kind, m).cast("double"))
-        .otherwise(F.when(m.startswith("+"), strict(kind, m).cast("double")).when(~m.rlike(r"[(]"), 0.0))
+        .otherwise(F.when(m.startswith("+"), strict(kind, m).cast("double")))
     )
 
 
@@ -163,27 +165,28 @@ def _threshold(scored: DataFrame) -> float:
 
 
 def added_spans(candidates: DataFrame) -> DataFrame:
-    """(row, kind, start, end, score) of the candidates (row, kind, start, end, match, before, after) that trees select."""
+    """(row, kind, start, end, score) of the candidates (row, hash, kind, start, end, match, before, after) that trees select."""
     named = features()
-    ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(candidates.withColumns(named).withColumn("label", label()))
-    order = F.xxhash64("row", "kind", "start", "end")
-    labelled = cut(ready.where("label is not null").select("features", "label", order.alias("order")).orderBy("order").limit(TRAIN_ROWS), "labelled")
-    train, held = labelled.where("order % 3 <> 0"), labelled.where("order % 3 = 0")
-    if train.select("label").distinct().count() < 2 or held.isEmpty():
-        return candidates.where("1 = 0").select("row", "kind", "start", "end", F.lit(0.0).alias("score"))
+    ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(candidates.withColumns(named).withColumn("label", label()).withColumn("order", F.xxhash64("hash", "kind", "start", "end")))
+    train = cut(ready.where("label is not null and order % 3 <> 0").select("features", "label", "order").orderBy("order").limit(TRAIN_ROWS), "train")
+    known = train.agg(F.count_distinct("label").alias("labels"), F.max("order").alias("last")).first()
+    none = candidates.where("1 = 0").select("row", "kind", "start", "end", F.lit(0.0).alias("score"))
+    if known["labels"] < 2:
+        return none
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=5, featuresCol="features", labelCol="label").fit(train)
     score = vector_to_array("probability")[1].alias("score")
-    least = _threshold(model.transform(held).select(score, "label"))
-    return model.transform(ready).select("row", "kind", "start", "end", score).where(F.col("score") >= least)
+    scored = cut(model.transform(ready).select("row", "kind", "start", "end", "label", "order", score), "scored")
+    least = _threshold(scored.where("label is not null").where((F.col("order") % 3 == 0) | (F.col("order") > known["last"])).select("score", "label"))
+    return scored.where(F.col("score") >= least).select("row", "kind", "start", "end", "score")
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end), base spans by kind as listed and start."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(body).alias("base"), proposals(body).alias("proposed"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(doc_id, body).alias("hash"), base_spans(body).alias("base"), proposals(body).alias("proposed"))
     found = cut(found, "found")
     free = F.filter("proposed", lambda p: ~F.exists("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
-    every = found.select("row", F.explode("proposed").alias("p"), F.transform(free, lambda p: F.struct(p["kind"], p["start"], p["end"])).alias("free")).select("row", "p.*", F.array_contains("free", F.struct("p.kind", "p.start", "p.end")).alias("open"))
+    every = found.select("row", "hash", F.explode("proposed").alias("p"), F.transform(free, lambda p: F.struct(p["kind"], p["start"], p["end"])).alias("free")).select("row", "hash", "p.*", F.array_contains("free", F.struct("p.kind", "p.start", "p.end")).alias("open"))
     chosen = added_spans(every).join(every.where("open").select("row", "kind", "start", "end"), ["row", "kind", "start", "end"])
     # a span is dropped when a better one overlaps it; candidates of a row are few, but all of them count
     better = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "start", "end", "kind"))).alias("c"))
