@@ -7,8 +7,8 @@ the first k shards get less what the first k - 1 get. A source's documents are l
 blocks; its quota is taken from a seeded block on, round and round, so a document is taken at most `most` times.
 
 Defined results: a null or empty text has 0 words and is never taken; a null source is a source of its own, last; a source
-without words has target 0; rows that repeat a doc_id are laid out each on its own; an empty table gives no rows; extra
-columns are ignored.
+without words has target 0; rows that repeat a doc_id, or have none, are laid out each on its own, and the mix follows each
+row's own plan; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,12 +72,14 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK_WO
     return ranked.groupBy("source", "source_size", "target", "block", "shard").agg((F.first("low") + F.sum("won")).alias("blocks"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, whole, pieces, taken) of every row.
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, whole, pieces, taken) of every row, and docs' column `row` where it is given.
 
     whole: times the document is taken from end to end; pieces: array of (first word, words) taken besides, from 0.
+    Place and bin follow the text too, so rows of one id, or of none, spread over the bins.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size")).withColumn("place", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+    carried = [F.col(row)] if row else []
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash"), *carried).withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed))), "sizes")
     bins = max(1, int(sized.count() ** 0.5))
     sized = sized.withColumn("bin", F.pmod("place", F.lit(bins)))
     per_bin = sized.groupBy("source", "bin").agg(F.sum("size").alias("words"))
@@ -86,13 +88,13 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     quotas = shard_quotas(source_targets(sized.select("source", "size"), weights, share, most), shards, block)
     first_block = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0")), F.lit(seed)), F.greatest(F.lit(1), F.floor(F.col("source_size") / F.col("block"))))
     quotas = cut(quotas.groupBy("source", "source_size", "target", "block").agg(F.max_by("blocks", "shard").alias("blocks")).withColumn("take", F.least(F.col("blocks") * F.col("block"), most * F.col("source_size"))).withColumn("origin", F.coalesce(first_block * F.col("block"), F.lit(0))), "quotas")
-    own = Window.partitionBy("source", "bin").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "bin").orderBy("place", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     laid = sized.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
     x, q, b = laid.alias("x"), quotas.alias("q"), per_bin.alias("b")
     joined = x.join(b, F.col("x.source").eqNullSafe(F.col("b.source")) & (F.col("x.bin") == F.col("b.bin"))).join(q, F.col("x.source").eqNullSafe(F.col("q.source")))
     at, size, total = F.col("begins") + F.col("inside"), F.col("size"), F.col("source_size")
     rest = F.when(total > 0, F.col("take") - F.floor(F.col("take") / total) * total).otherwise(F.lit(0)).cast("long")
-    one = joined.select("x.doc_id", "x.source", "x.size", "source_size", "target", F.when(size > 0, F.floor(F.col("take") / total)).otherwise(F.lit(0)).cast("long").alias("whole"), at.alias("at"), F.col("origin").alias("lo"), (F.col("origin") + rest).alias("hi"))
+    one = joined.select(*([f"x.{row}"] if row else []), "x.doc_id", "x.source", "x.size", "source_size", "target", F.when(size > 0, F.floor(F.col("take") / total)).otherwise(F.lit(0)).cast("long").alias("whole"), at.alias("at"), F.col("origin").alias("lo"), (F.col("origin") + rest).alias("hi"))
 
     def overlap(lo, hi):
         start = F.greatest(F.lit(0), lo - F.col("at"))
@@ -101,26 +103,28 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     pieces = F.filter(F.array(overlap(F.lit(0), F.col("hi") - F.col("source_size")), overlap(F.col("lo"), F.least(F.col("hi"), F.col("source_size")))), lambda p: p["words"] > 0)
     done = one.withColumn("pieces", pieces)
     taken = F.col("whole") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    return done.select("doc_id", "source", "size", "source_size", "target", "whole", "pieces", taken.alias("taken"))
+    return done.select("doc_id", "source", "size", "source_size", "target", "whole", "pieces", taken.alias("taken"), *carried)
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with docs' columns: a row for each time a document is taken, the last one cut to the words taken.
 
-    doc_id, text and source are docs' columns of these names; n_chars, where there is one, follows a cut text.
+    doc_id, text and source are docs' columns of these names; n_chars, where there is one, follows a cut text. Rows are written
+    with a number first, by which each finds its own plan.
     """
-    plan = mixed(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("pieces").alias("_pieces")).distinct()
-    plan = plan.groupBy("_id").agg(F.max(F.struct("_whole", "_size", "_pieces")).alias("_p")).select("_id", "_p.*")
+    columns = docs.columns
+    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = mixed(docs, row="_row", **options).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("pieces").alias("_pieces"))
     partial = F.when(F.size("_pieces") > 0, F.array(F.col("_pieces"))).otherwise(F.array().cast("array<array<struct<first:bigint,words:bigint>>>"))
     entire = F.array_repeat(F.expr("cast(null as array<struct<first:bigint,words:bigint>>)"), F.col("_whole").cast("int"))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "_size", F.explode(F.concat(entire, partial)).alias("_part"))
+    rows = docs.join(plan, "_row").select(*columns, "_size", F.explode(F.concat(entire, partial)).alias("_part"))
     words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
     all_of_it = F.col("_part").isNull() | (F.aggregate("_part", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_size"))
     text = F.when(all_of_it, F.col("text")).otherwise(F.concat_ws(" ", F.flatten(F.transform("_part", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int"))))))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(all_of_it, F.col("n_chars")).otherwise(F.length("text")))
-    return rows.select(*docs.columns)
+    return rows.select(*columns)
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
