@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, one verification per pair.
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, joined on prefix n-grams.
 
 A document's set holds the 64-bit hashes of its distinct k-word shingles. Documents with equal sets are one class; only
 one of each class is joined, so copies never become pairs. Shingles are ordered by a frequency sketch of the whole
@@ -6,8 +6,13 @@ corpus (rare first), and classes meet on the shingles of their prefixes:
 
 - length filter: percent * |x| <= 100 * |y| for the larger x;
 - positional filter: the overlap still possible from the common shingle on reaches the overlap needed;
-- suffix filter: the sets are cut into PARTS hash ranges; the sum of the smaller counts bounds the overlap;
-- verification: exact intersection of the two sets, once per distinct pair.
+- suffix filter: each set is cut into hash ranges and keeps one bit a range, the parity of its shingles there. Ranges whose
+  parities differ hold a shingle of only one of the two sets, so their number bounds the overlap from above;
+- verification: exact intersection of the two sets, once per pair.
+
+Components are found in three turns, each between what is not tied yet: every class with the first class on most of its
+shingles, every class with its nearest by parities, then all pairs. The last two compare a shingle's classes as blocks
+inside tasks, and only pairs that pass all filters leave a task. `class_links` gives all links instead.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than k form one shingle;
 a null doc_id links with nothing and gets a null component; rows that repeat a doc_id are one node with several texts;
@@ -27,11 +32,16 @@ from pyspark.sql.types import LongType
 from . import repeat_filter as R
 from . import textops as X
 from .components import components
-from .tables import cut, sent_if_few
+from .tables import cut, sent_if_few, spread_join
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
 SKETCH = 1 << 16
-PARTS = 64
+#: Hash ranges of the smallest set; larger sets have a power of two times as many.
+RANGES = 1024
+#: Classes of one shingle that are compared as one block, and rows that one task gets.
+BLOCK, TASK_ROWS = 1024, 20_000
+#: Pairs that a task holds at once.
+PAIRS = 1 << 16
 
 
 def _sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,30 +82,49 @@ def frequency_sketch(docs: DataFrame, text: str, k: int, lower: bool) -> np.ndar
     return sketch
 
 
+def parities(hashes: np.ndarray, edges: np.ndarray, percent: int) -> list[bytes]:
+    """For each set, one bit for every hash range: is its number of shingles there odd? Ranges grow with the set."""
+    sizes = np.diff(edges)
+    wide = np.maximum(RANGES, 2 ** np.ceil(np.log2(np.maximum(1, sizes * (100 - percent) / 10)))).astype(np.int64)
+    out: list[bytes] = [b""] * len(sizes)
+    for ranges in np.unique(wide):
+        of = np.flatnonzero(wide == ranges)
+        for part in np.array_split(of, max(1, len(of) * int(ranges) // (1 << 21))):
+            odd = np.zeros((len(part), ranges), bool)
+            row = np.repeat(np.arange(len(part)), sizes[part])
+            at = np.repeat(edges[part] - np.cumsum(sizes[part]) + sizes[part], sizes[part]) + np.arange(len(row))
+            keys, n = np.unique(row * ranges + (hashes[at] & np.uint64(ranges - 1)).astype(np.int64), return_counts=True)
+            odd.ravel()[keys[n % 2 == 1]] = True
+            packed = np.packbits(odd, axis=1, bitorder="little")
+            for i, x in zip(part, packed, strict=True):
+                out[i] = x.tobytes()
+    return out
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool) -> DataFrame:
-    """(doc_id, n, fp, prefix, parts) of every row: set size, 128-bit fingerprint, rare-first prefix and part counts."""
+    """(doc_id, n, fp, prefix, parity) of every row: set size, 128-bit fingerprint, rare-first prefix and range parities."""
     sketch = frequency_sketch(docs, text, k, lower)
     level = docs.sparkSession.sparkContext.broadcast(np.minimum(255, 8 * np.log2(sketch + 1)).astype(np.uint64) << np.uint64(56))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, prefix, parts = [], [], [], []
+            n, fp, prefix, parity = [], [], [], []
             for _, edges, hashes in _sets(batch.column(1), k, lower):
                 keys = level.value[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)] | hashes >> np.uint64(8)
-                part = (hashes >> np.uint64(58)).astype(np.int64)
                 other = X.mix(hashes)
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                odd = parities(other, edges, percent)
+                for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     n.append(b - a)
                     if a == b:
-                        fp.append(None), prefix.append(None), parts.append(None)
+                        fp.append(None), prefix.append(None), parity.append(None)
                         continue
                     fp.append(np.array([hashes[a:b].sum(), other[a:b].sum() ^ np.uint64(b - a)], np.uint64).tobytes())
                     least = -(-percent * int(b - a) // 100)
                     prefix.append(np.sort(keys[a:b])[: b - a - least + 1].tobytes())
-                    parts.append(np.bincount(part[a:b], minlength=PARTS).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(parts, pa.binary())], ["doc_id", "n", "fp", "prefix", "parts"])
+                    parity.append(odd[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], ["doc_id", "n", "fp", "prefix", "parity"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, fp binary, prefix binary, parts binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, fp binary, prefix binary, parity binary")
 
 
 def _class_number(fp: list[bytes]) -> np.ndarray:
@@ -155,44 +184,139 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def with_first(met: DataFrame, percent: int) -> DataFrame:
     """(a, b, n, m): each class with the one class that comes first on most of its shingles; at most one row a class."""
     first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
-    flat = met.join(first, "gram").select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
+    flat = spread_join(met, first, "gram", "fp").select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
     led = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent)).groupBy("fp", "n", "fp_", "n_").agg(F.count("*").alias("c"))
     best = led.groupBy("fp", "n").agg(F.max(F.struct("c", "fp_", "n_")).alias("best"))
     return _ordered(best.select("fp", "n", "best.fp_", "best.n_"))
 
 
-def with_any_first(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, m): each class with the first class of each of its shingles, where that is in another component."""
-    named = met.join(tied, "fp")
-    first = named.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos", "rep")).alias("lead"))
-    flat = named.join(first, "gram").select("fp", "n", "pos", "rep", *(F.col(f"lead.{c}").alias(f"{c}_") for c in ("fp", "n", "pos", "rep")))
-    return _ordered(flat.where("rep <> rep_").where(_reach("n", "pos", "n_", "pos_", percent)))
-
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """Parities of fewer ranges: a range of the smaller number is the sum of several of the larger."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, size // 8), 0)
 
-def across(met: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, m): pairs of classes that meet on a shingle and are not in one component yet."""
-    named = cut(met.select("gram", "fp", "n", "pos").join(tied, "fp"), "named")
-    mixed = named.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("gram")
-    left = cut(named.join(mixed, "gram", "left_semi"), "mixed")
-    x, y = (left.select("gram", *(F.col(c).alias(c + s) for c in ("fp", "n", "pos", "rep"))) for s in ("", "_"))
-    return _ordered(x.join(y, (x["gram"] == y["gram"]) & (F.col("rep") < F.col("rep_")) & _reach("n", "pos", "n_", "pos_", percent)))
 
+def least_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """At least so many shingles are in only one of the two sets of each pair."""
+    sizes = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+    out = np.zeros(len(sizes), np.int64)
+    for size in np.unique(sizes):
+        of = np.flatnonzero(sizes == size)
+        p, q = (np.stack([_folded(v[i], int(size)) for i in of]) for v in (x, y))
+        out[of] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return out
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that pass the suffix filter."""
-    parts = classes.select("fp", "parts")
-    both = pairs.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
 
-    @F.pandas_udf("long")
-    def shared(pa_, pb_):
-        import pandas as pd
+def _most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return n + m - 2 * np.ceil(percent * (n + m) / (100.0 + percent) - 1e-9).astype(np.int64)
 
-        if not len(pa_):
-            return pd.Series([], dtype="int64")
-        p, q = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), PARTS) for v in (pa_, pb_))
-        return pd.Series(np.minimum(p, q).sum(1, dtype=np.int64))
 
-    return both.where(shared("pa", "pb") >= needed_overlap(F.col("n"), F.col("m"), percent)).select("a", "b")
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that pass the suffix filter."""
+    parity = classes.select("fp", "parity")
+    both = spread_join(spread_join(pairs, parity.toDF("a", "pa"), "a", "b"), parity.toDF("b", "pb"), "b", "a")
+
+    @F.arrow_udf("boolean")
+    def near(n: pa.Array, m: pa.Array, p: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array(least_apart(p.to_pylist(), q.to_pylist()) <= _most_apart(np.asarray(n), np.asarray(m), percent))
+
+    return both.where(near("n", "m", "pa", "pb")).select("a", "b")
+
+
+def _pairs_in_order(key: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal keys, PAIRS or so at once, from rows ordered by key and own: within a block (i = j), or across two."""
+    starts, ends = X.runs(key)
+    end = np.repeat(ends, ends - starts)
+    middle = np.repeat(starts + np.add.reduceat((own == i).astype(np.int64), starts), ends - starts) if len(key) else end
+    row = np.arange(len(key))
+    first = np.where(i == j, row + 1, middle)
+    n = np.where((i == j) | (own == i), end - first, 0)
+    done = np.cumsum(n)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
+        x = np.repeat(row[a:b], n[a:b])
+        yield x, first[x] + np.arange(len(x)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+        a = b
+
+
+def _classes_of(fp: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 16-byte names, as two numbers each, and which one every row has."""
+    return np.unique(np.frombuffer(b"".join(fp), np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+
+
+def _compare(rows: pa.Table, percent: int, nearest: bool) -> pa.Table:
+    """(a, b, n, m, apart): pairs of different components that pass all filters; with nearest, the best one of each class."""
+    gram, i, j, own, rep, n, pos = (np.asarray(rows.column(c)) for c in ("gram", "i", "j", "own", "rep", "n", "pos"))
+    order = np.lexsort((own, j, i, gram))
+    gram, i, j, own, rep, n, pos = (v[order] for v in (gram, i, j, own, rep, n, pos))
+    names, at = _classes_of(rows.column("fp").to_pylist())
+    raw = rows.column("parity").to_pylist()
+    parity: list[bytes] = [b""] * len(names)
+    for where, value in zip(at, raw, strict=True):
+        parity[where] = value
+    at = at[order]
+    base = np.stack([_folded(p, RANGES // 8) for p in parity])
+    key = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    best: list[tuple[np.ndarray, ...]] = []
+    for x, y in _pairs_in_order(key, own, i, j):
+        need = np.ceil(percent * (n[x] + n[y]) / (100.0 + percent) - 1e-9)
+        ok = (rep[x] != rep[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
+        x, y = x[ok], y[ok]
+        most, apart = _most_apart(n[x], n[y], percent), np.bitwise_count(base[at[x]] ^ base[at[y]]).sum(1, dtype=np.int64)
+        ok = apart <= most
+        x, y, apart, most = x[ok], y[ok], apart[ok], most[ok]
+        wide = np.flatnonzero(np.minimum(*(np.array([len(parity[k]) for k in at[v]], np.int64) for v in (x, y))) > RANGES // 8) if len(x) else x
+        if len(wide):
+            apart[wide] = least_apart([parity[k] for k in at[x[wide]]], [parity[k] for k in at[y[wide]]])
+            ok = apart <= most
+            x, y, apart = x[ok], y[ok], apart[ok]
+        low, high = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+        best.append(_thinned(low, high, apart, nearest))
+    low, high, apart = _thinned(*(np.concatenate(v) for v in zip(*best, strict=True)), nearest) if best else (at[:0], at[:0], at[:0])
+    size = np.zeros(len(names), np.int64)
+    size[at] = n
+    fp = pa.array([v.tobytes() for v in names], pa.binary())
+    return pa.table({"a": fp.take(pa.array(low)), "b": fp.take(pa.array(high)), "na": pa.array(size[low]), "nb": pa.array(size[high]), "apart": pa.array(apart)})
+
+
+def _thinned(low: np.ndarray, high: np.ndarray, apart: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs; with nearest, only those that are the best one of either class."""
+    order = np.lexsort((high, low))
+    low, high, apart = low[order], high[order], apart[order]
+    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])) if len(low) else np.zeros(0, bool)
+    low, high, apart = low[new], high[new], apart[new]
+    if nearest and len(low):
+        keep = np.zeros(len(low), bool)
+        for side, other in ((low, high), (high, low)):
+            order = np.lexsort((other, apart, side))
+            keep[order[np.append(True, side[order][1:] != side[order][:-1])]] = True
+        low, high, apart = low[keep], high[keep], apart[keep]
+    return low, high, apart
+
+
+def across(met: DataFrame, tied: DataFrame, classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """(a, b): pairs of classes in different components that meet on a shingle and pass all filters.
+
+    With nearest, at most one row a class: the pair that its parities call nearest. A shingle's classes come in blocks,
+    and every two blocks are compared in a task of their own, except two blocks of its largest component.
+    """
+    named = cut(met.select("gram", "fp", "n", "pos").join(tied, "fp"), "named")
+    sides = named.groupBy("gram", "rep").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("total"), F.max("c").alias("most"), F.max(F.struct("c", "rep"))["rep"].alias("top"), F.count("*").alias("reps")).where("reps > 1")
+    many = F.col("total") > BLOCK
+    sides = cut(sides.select("gram", "top", F.when(many, F.ceil((F.col("total") - F.col("most")) / BLOCK)).otherwise(F.lit(1)).alias("others"), F.when(many, F.ceil(F.col("most") / BLOCK)).otherwise(F.lit(0)).alias("tops"), "total", "most"), "sides")
+    sent = sides.agg(F.sum(F.when(F.col("tops") > 0, (F.col("total") - F.col("most")) * (F.col("others") + F.col("tops")) + F.col("most") * F.col("others")).otherwise(F.col("total")))).first()[0] or 0
+    place = F.xxhash64("fp")
+    own = F.when((F.col("tops") > 0) & (F.col("rep") == F.col("top")), F.col("others") + F.pmod(place, F.col("tops"))).otherwise(F.pmod(place, F.col("others")))
+    rows = spread_join(named, sides.select("gram", "top", "others", "tops"), "gram", "fp").withColumn("own", own)
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("tops")).otherwise(F.col("others")) - 1
+    rows = rows.join(classes.select("fp", "parity"), "fp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = rows.select("gram", "fp", "n", "pos", "rep", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(max(1, -(-int(sent) // TASK_ROWS)))))
+    pairs = dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, percent, nearest), "a binary, b binary, na long, nb long, apart long")
+    if not nearest:
+        return pairs.select("a", "b").distinct()
+    pairs = cut(pairs, "nearest")
+    sided = pairs.select("a", "b", "apart", F.col("a").alias("fp")).union(pairs.select("a", "b", "apart", "b"))
+    return sided.groupBy("fp").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, lower: bool) -> DataFrame:
@@ -221,50 +345,68 @@ def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, d
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs whose sets overlap enough."""
 
-    @F.pandas_udf("boolean")
-    def linked(x, y):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
         found = np.zeros(len(x), bool)
         for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
             both = np.sort(np.concatenate([p, q]))
             same = int((both[1:] == both[:-1]).sum())
             found[i] = 100 * same >= percent * (len(p) + len(q) - same)
-        return pd.Series(found)
+        return pa.array(found)
 
-    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(linked("sa", "sb")).select("a", "b")
+    return spread_join(spread_join(pairs, sets.toDF("a", "sa"), "a", "b"), sets.toDF("b", "sb"), "b", "a").where(linked("sa", "sb")).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; two rows link when 100 * intersection >= percent * union."""
-    signed = cut(signatures(docs, doc_id, text, k, percent, lower), "signed")
-    full = signed.where("n > 0 and doc_id is not null")
-    classes = cut(full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
-    met = shared_postings(classes)
-    names = classes.select("fp", "rep")
+class _Join:
+    """The classes of a corpus, their postings, and what has been verified so far."""
 
-    def links(some: DataFrame, sets: DataFrame, node: DataFrame) -> DataFrame:
-        found = verified(some, sets, percent)
-        return found.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool):
+        self.source, self.percent = (docs, doc_id, text, k, lower), percent
+        self.signed = cut(signatures(docs, doc_id, text, k, percent, lower), "signed")
+        self.full = self.signed.where("n > 0 and doc_id is not null")
+        self.classes = cut(self.full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
+        self.names = self.classes.select("fp", "rep")
+        self.met = shared_postings(self.classes)
+        self.sets = self.asked = None
 
-    # rows that repeat a doc_id tie their classes together
-    same = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("c > 1 and f <> g").select("doc_id").join(full.select("doc_id", "fp"), "doc_id").join(names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # one partner a class joins most of a group; then first classes, then all pairs, only between different components
-    tied, sets = names, None
-    for meet in (lambda: with_first(met, percent), lambda: with_any_first(met, tied, percent), lambda: across(met, tied, percent)):
-        some = cut(likely(meet(), classes, percent), "pairs")
-        sets = rebuilt_sets(some, sets, classes, docs, doc_id, text, k, lower)
-        found = links(some, sets, tied)
-        tied = _named(tied, components(found.union(same) if tied is names else found), "tied")
-    labels = tied.toDF("fp", "component_id")
-    rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n", "fp").join(labels, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that link; a pair that was asked before is not verified again."""
+        if self.asked is not None:
+            pairs = pairs.join(self.asked, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        docs, doc_id, text, k, lower = self.source
+        self.sets = rebuilt_sets(pairs, self.sets, self.classes, docs, doc_id, text, k, lower)
+        self.asked = pairs if self.asked is None else self.asked.union(pairs)
+        return cut(verified(pairs, self.sets, self.percent), "linked")
+
+    def tie(self, pairs: DataFrame, tied: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """tied (fp, rep), rep replaced by the component that the links among pairs give it."""
+        ends = spread_join(spread_join(self.links(pairs), tied.toDF("a", "x"), "a", "b"), tied.toDF("b", "y"), "b", "a").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = components(ends if more is None else ends.union(more))
+        return cut(spread_join(tied, found, "rep", "fp", right="node", how="left").select("fp", F.coalesce("component", "rep").alias("rep")), "tied")
 
 
-def _named(names: DataFrame, found: DataFrame, table: str) -> DataFrame:
-    """(fp, rep) with rep replaced by its component."""
-    return cut(names.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("rep")), table)
+def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), two class names, of every linked pair of different sets; and (doc_id, class), the members."""
+    join = _Join(docs, doc_id, text, k, percent, lower)
+    links = join.links(across(join.met, join.names, join.classes, percent))
+    return links, join.full.select("doc_id", F.col("fp").alias("class"))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; two rows link when 100 * intersection >= percent * union."""
+    join = _Join(docs, doc_id, text, k, percent, lower)
+    # rows that repeat a doc_id tie their classes together
+    ids = join.full.select("doc_id", "fp").distinct()
+    again = ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    same = ids.join(again, "doc_id").join(join.names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    tied = join.tie(likely(with_first(join.met, percent), join.classes, percent), join.names, same)
+    for nearest in (True, False):
+        tied = join.tie(across(join.met, tied, join.classes, percent, nearest), tied)
+    labels = tied.toDF("fp", "component_id")
+    rest = join.signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return spread_join(join.full.select("doc_id", "n", "fp"), labels, "fp", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)
 
 
 def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

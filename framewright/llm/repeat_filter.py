@@ -20,7 +20,7 @@ from .textops import mix, runs
 
 #: Bytes of text that one part of hashes, or one bucket of rows, stands for; and hashes of one block.
 SPLIT_BYTES = 2 << 20
-BLOCK = 2_000_000
+BLOCK = 500_000
 ASK = "part long, blob binary"
 ANSWER = "bucket long, blob binary"
 EARLIER, REPEATED, SHARED = "earlier", "repeated", "shared"
@@ -115,8 +115,9 @@ class Blocks:
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.n:
             self.turn += 1
-            yield ask(*(np.concatenate(x) for x in zip(*self.kept, strict=True)), self.parts, self.rule, self.turn)
-        self.kept, self.n = [], 0
+            hashes, ids = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+            self.kept, self.n = [], 0
+            yield ask(hashes, ids, self.parts, self.rule, self.turn)
 
 
 def answers(asked: DataFrame, parts: int, buckets: int, rule: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +12,10 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("framewright.shared.dir", "")
+    """The folder all executors share, from spark.checkpoint.dir."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("framewright.shared.dir", conf)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{conf.rstrip('/')}/framewright-{spark.sparkContext.applicationId}"
 
 
@@ -36,3 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sent_if_few(ids: DataFrame) -> DataFrame:
     """ids (one column of numbers, already written), to be broadcast where there are at most BROADCAST_IDS."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+#: A key of a join that many rows share is spread over so many tasks.
+SALTS = 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, right: str | None = None, how: str = "inner") -> DataFrame:
+    """many joined with one on key (in one: `right`, of distinct values), where many rows may hold the same key.
+
+    Rows of one key are dealt over SALTS tasks by a hash of another column, and what `one` has for the key goes to those of
+    the tasks that have rows, so at most SALTS times.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    kept = one.select(*[F.col(c).alias(f"_{c}" if c == (right or key) else c) for c in one.columns])
+    name = f"_{right or key}"
+    wanted = salted.select(key, "_salt").distinct().join(kept, F.col(key) == F.col(name)).select(name, F.col("_salt").alias("_salt_"), *[c for c in kept.columns if c != name])
+    joined = salted.join(wanted, (F.col(key) == F.col(name)) & (F.col("_salt") == F.col("_salt_")), how).drop("_salt", "_salt_")
+    return joined.withColumnRenamed(name, right) if right and right != key else joined.drop(name)
