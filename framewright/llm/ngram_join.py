@@ -11,8 +11,8 @@ corpus (rare first), and classes meet on the shingles of their prefixes:
 - verification: exact intersection of the two sets, once per pair.
 
 Components are found in three turns, each between what is not tied yet: every class with the first class on most of its
-shingles, every class with its nearest by parities, then all pairs. The last two compare a shingle's classes as blocks
-inside tasks, and only pairs that pass all filters leave a task. `class_links` gives all links instead.
+shingles, every class with its nearest by parities, then all pairs that are left. A shingle's classes are compared as
+blocks inside tasks, and only pairs that pass all filters leave a task. `class_links` gives all links instead.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than k form one shingle;
 a null doc_id links with nothing and gets a null component; rows that repeat a doc_id are one node with several texts;
@@ -32,14 +32,19 @@ from pyspark.sql.types import LongType
 from . import repeat_filter as R
 from . import textops as X
 from .components import components
-from .tables import cut, sent_if_few, spread_join
+from .tables import cut, discard, sent_if_few, spread_join
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
 SKETCH = 1 << 16
-#: Hash ranges of the smallest set; larger sets have a power of two times as many.
-RANGES = 1024
+#: Hash ranges of the smallest set; larger sets have at least RANGES_EACH for each shingle, a power of two in all.
+RANGES, RANGES_EACH = 2048, 4
+#: Bytes of the coarse parities that go with every posting.
+COARSE = 64
 #: Classes of one shingle that are compared as one block, and rows that one task gets.
-BLOCK, TASK_ROWS = 1024, 20_000
+BLOCK, TASK_ROWS = 1024, 100_000
+NEAREST_ROUNDS = 3
+#: Class names (16 bytes, and a component) that are broadcast at most.
+FEW_NAMES = 500_000
 #: Pairs that a task holds at once.
 PAIRS = 1 << 16
 
@@ -82,10 +87,10 @@ def frequency_sketch(docs: DataFrame, text: str, k: int, lower: bool) -> np.ndar
     return sketch
 
 
-def parities(hashes: np.ndarray, edges: np.ndarray, percent: int) -> list[bytes]:
+def parities(hashes: np.ndarray, edges: np.ndarray) -> list[bytes]:
     """For each set, one bit for every hash range: is its number of shingles there odd? Ranges grow with the set."""
     sizes = np.diff(edges)
-    wide = np.maximum(RANGES, 2 ** np.ceil(np.log2(np.maximum(1, sizes * (100 - percent) / 10)))).astype(np.int64)
+    wide = np.maximum(RANGES, 2 ** np.ceil(np.log2(np.maximum(1, sizes * RANGES_EACH)))).astype(np.int64)
     out: list[bytes] = [b""] * len(sizes)
     for ranges in np.unique(wide):
         of = np.flatnonzero(wide == ranges)
@@ -102,47 +107,51 @@ def parities(hashes: np.ndarray, edges: np.ndarray, percent: int) -> list[bytes]
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool) -> DataFrame:
-    """(doc_id, n, fp, prefix, parity) of every row: set size, 128-bit fingerprint, rare-first prefix and range parities."""
+    """(doc_id, n, fp, prefix, parity, coarse) of every row: set size, 128-bit fingerprint, rare-first prefix, range parities."""
     sketch = frequency_sketch(docs, text, k, lower)
     level = docs.sparkSession.sparkContext.broadcast(np.minimum(255, 8 * np.log2(sketch + 1)).astype(np.uint64) << np.uint64(56))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, prefix, parity = [], [], [], []
+            n, fp, prefix, parity, coarse = [], [], [], [], []
             for _, edges, hashes in _sets(batch.column(1), k, lower):
                 keys = level.value[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)] | hashes >> np.uint64(8)
                 other = X.mix(hashes)
-                odd = parities(other, edges, percent)
+                odd = parities(other, edges)
                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     n.append(b - a)
                     if a == b:
-                        fp.append(None), prefix.append(None), parity.append(None)
+                        fp.append(None), prefix.append(None), parity.append(None), coarse.append(None)
                         continue
                     fp.append(np.array([hashes[a:b].sum(), other[a:b].sum() ^ np.uint64(b - a)], np.uint64).tobytes())
                     least = -(-percent * int(b - a) // 100)
                     prefix.append(np.sort(keys[a:b])[: b - a - least + 1].tobytes())
                     parity.append(odd[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], ["doc_id", "n", "fp", "prefix", "parity"])
+                    coarse.append(_folded(odd[i], COARSE).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary()), pa.array(coarse, pa.binary())], ["doc_id", "n", "fp", "prefix", "parity", "coarse"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, fp binary, prefix binary, parity binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, fp binary, prefix binary, parity binary, coarse binary")
 
 
 def _class_number(fp: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x[:8] for x in fp), np.int64)
 
 
+MET = "gram long, fp binary, n long, pos long, rep long, coarse binary"
+
+
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """(gram, fp, n, pos): postings of shingles in two prefixes or more.
+    """(gram, fp, n, pos, rep, coarse): postings of shingles in two prefixes or more.
 
     Which shingles these are is found on packed hashes, so that shingles of one class never become rows.
     """
     splits = R.splits(classes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0)
-    rows = classes.select("fp", "n", "prefix")
+    rows = classes.select("fp", "n", "rep", "coarse", "prefix")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = R.Blocks(splits, R.SHARED)
         for batch in batches:
-            grams = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            grams = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
             if grams:
                 yield from blocks.add(X.mix(np.concatenate(grams)), np.repeat(_class_number(batch.column(0).to_pylist()), [len(g) for g in grams]))
         yield from blocks.end()
@@ -160,34 +169,101 @@ def shared_postings(classes: DataFrame) -> DataFrame:
         keep = np.flatnonzero(R.among(R.answer_keys(X.mix(gram.view(np.uint64)), _class_number(fp.to_pylist())[row]), known)) if len(row) else row
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         pick = pa.array(row[keep], pa.int64())
-        return pa.table({"gram": pa.array(gram[keep], pa.int64()), "fp": fp.take(pick), "n": rows.column("n").combine_chunks().take(pick), "pos": pa.array(place[keep], pa.int64())})
+        return pa.table({"gram": pa.array(gram[keep], pa.int64()), "fp": fp.take(pick), "n": rows.column("n").combine_chunks().take(pick), "pos": pa.array(place[keep], pa.int64()), "rep": rows.column("rep").combine_chunks().take(pick), "coarse": rows.column("coarse").combine_chunks().take(pick)})
 
     replies = R.answers(rows.mapInArrow(send, R.ASK), splits, splits, R.SHARED)
     dealt = rows.withColumn("bucket", bucket("fp")).groupBy("bucket")
-    return cut(dealt.cogroup(replies.groupBy("bucket")).applyInArrow(spread, "gram long, fp binary, n long, pos long"), "postings")
+    return cut(dealt.cogroup(replies.groupBy("bucket")).applyInArrow(spread, MET), "postings")
 
 
-def needed_overlap(n: Column, m: Column, percent: int) -> Column:
-    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
+def _reach(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Length and positional filter of rows x and y that meet on a shingle."""
+    need = np.ceil(percent * (n[x] + n[y]) / (100.0 + percent) - 1e-9)
+    return (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
 
 
-def _reach(n: str, pos: str, m: str, place: str, percent: int) -> Column:
-    """Length and positional filter of two classes that meet on a shingle."""
-    longer = F.greatest(n, m) * percent <= F.least(n, m) * 100
-    return longer & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) >= needed_overlap(F.col(n), F.col(m), percent))
+def _numbers(fp: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """16-byte names as two numbers."""
+    both = np.frombuffer(b"".join(fp.to_pylist()), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
+def _classes_of(fp: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct class, and which class every row has."""
+    x, y = _numbers(fp)
+    order = np.lexsort((y, x))
+    new = np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
 
 
-def with_first(met: DataFrame, percent: int) -> DataFrame:
+class _Grams:
+    """How the postings of each shingle are dealt over tasks: together, or those of a frequent one in blocks.
+
+    The largest component of a frequent shingle has blocks of its own, which never meet each other.
+    """
+
+    def __init__(self, met: DataFrame):
+        self.met = met
+        counts = met.groupBy("gram").agg(F.count("*").alias("total"))
+        self.frequent = cut(counts.where(F.col("total") > BLOCK), "frequent")
+        self.tasks = max(1, -(-met.count() // TASK_ROWS))
+
+    def first(self) -> DataFrame:
+        """(gram, fp_, n_, pos_) of the first class of each frequent shingle."""
+        rows = self.met.join(sent_if_few(self.frequent.select("gram")), "gram", "left_semi")
+        return cut(rows.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("f")).select("gram", F.col("f.fp").alias("fp_"), F.col("f.n").alias("n_"), F.col("f.pos").alias("pos_")), "first")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows (gram, fp, n, pos, rep) with the two blocks i, j that meet, the own one, and their task."""
+        some = rows.join(sent_if_few(self.frequent.select("gram")), "gram", "left_semi")
+        sides = some.groupBy("gram", "rep").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("total"), F.max(F.struct("c", "rep")).alias("most"))
+        others = F.ceil((F.col("total") - F.col("most.c")) / BLOCK)
+        sides = cut(sides.select(F.col("gram").alias("_gram"), F.col("most.rep").alias("top"), others.alias("others"), F.ceil(F.col("most.c") / BLOCK).alias("tops")).where("others > 0"), "sides")
+        joined = rows.join(sent_if_few(sides), F.col("gram") == F.col("_gram"), "left")
+        if self.frequent.isEmpty():
+            whole = rows
+        else:
+            # a frequent shingle of a single component meets nothing
+            whole = joined.where("_gram is null").join(sent_if_few(self.frequent.select("gram")), "gram", "left_anti")
+        zero = F.lit(0).cast("long")
+        place = F.xxhash64("fp")
+        own = F.when(F.col("rep") == F.col("top"), F.col("others") + F.pmod(place, F.col("tops"))).otherwise(F.pmod(place, F.col("others")))
+        last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("tops")).otherwise(F.col("others")) - 1
+        split = joined.where("_gram is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, last)))
+        split = split.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        every = whole.select(*rows.columns, zero.alias("own"), zero.alias("i"), zero.alias("j")).union(split)
+        return every.withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(self.tasks)))
+
+
+def with_first(grams: _Grams, percent: int) -> DataFrame:
     """(a, b, n, m): each class with the one class that comes first on most of its shingles; at most one row a class."""
-    first = met.groupBy("gram").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
-    flat = spread_join(met, first, "gram", "fp").select("fp", "n", "pos", F.col("lead.fp").alias("fp_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
-    led = flat.where("fp <> fp_").where(_reach("n", "pos", "n_", "pos_", percent)).groupBy("fp", "n", "fp_", "n_").agg(F.count("*").alias("c"))
-    best = led.groupBy("fp", "n").agg(F.max(F.struct("c", "fp_", "n_")).alias("best"))
-    return _ordered(best.select("fp", "n", "best.fp_", "best.n_"))
+
+    def lead(rows: pa.Table) -> pa.Table:
+        gram, n, pos = (np.asarray(rows.column(c)) for c in ("gram", "n", "pos"))
+        members, at = _classes_of(rows.column("fp"))
+        order = np.lexsort((at, n, gram))
+        starts, ends = X.runs(gram[order])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[np.repeat(starts, ends - starts)]
+        row = np.flatnonzero((at != at[first]) & _reach(n, pos, np.arange(len(n)), first, percent))
+        pair, c = np.unique(at[row] * len(members) + at[first[row]], return_counts=True)
+        x, y = members[pair // len(members)], members[pair % len(members)]
+        fp = rows.column("fp").combine_chunks()
+        return pa.table({"fp": fp.take(pa.array(x)), "n": n[x], "fp_": fp.take(pa.array(y)), "n_": n[y], "c": c})
+
+    met, percent_ = grams.met, F.lit(percent)
+    led = met
+    if not grams.frequent.isEmpty():
+        led = met.join(sent_if_few(grams.frequent.select("gram")), "gram", "left_anti")
+    led = led.select("gram", "fp", "n", "pos").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(grams.tasks))).groupBy("bucket").applyInArrow(lead, "fp binary, n long, fp_ binary, n_ long, c long")
+    often = met.join(sent_if_few(grams.first()), "gram").where("fp <> fp_")
+    need = F.ceil(percent * (F.col("n") + F.col("n_")) / F.lit(100.0 + percent) - 1e-9)
+    often = often.where((F.greatest("n", "n_") * percent_ <= F.least("n", "n_") * 100) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= need)).select("fp", "n", "fp_", "n_", F.lit(1).cast("long").alias("c"))
+    counted = led.union(often).groupBy("fp", "n", "fp_", "n_").agg(F.sum("c").alias("c"))
+    best = counted.groupBy("fp", "n").agg(F.max(F.struct("c", "fp_", "n_")).alias("best")).select("fp", "n", "best.fp_", "best.n_")
+    return best.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b"), F.least("n", "n_").alias("n"), F.greatest("n", "n_").alias("m")).distinct()
 
 
 def _folded(parity: bytes, size: int) -> np.ndarray:
@@ -210,9 +286,15 @@ def _most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return n + m - 2 * np.ceil(percent * (n + m) / (100.0 + percent) - 1e-9).astype(np.int64)
 
 
+def _parities(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, parity) of the wanted classes (fp)."""
+    return classes.select("fp", "parity").join(sent_if_few(wanted, FEW_NAMES), "fp", "left_semi")
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs that pass the suffix filter."""
-    parity = classes.select("fp", "parity")
+    pairs = cut(pairs, "met")
+    parity = _parities(classes, cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted"))
     both = spread_join(spread_join(pairs, parity.toDF("a", "pa"), "a", "b"), parity.toDF("b", "pb"), "b", "a")
 
     @F.arrow_udf("boolean")
@@ -239,44 +321,66 @@ def _pairs_in_order(key: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarr
         a = b
 
 
-def _classes_of(fp: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 16-byte names, as two numbers each, and which one every row has."""
-    return np.unique(np.frombuffer(b"".join(fp), np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+def _in_blocks(rows: pa.Table) -> pa.Table:
+    order = np.lexsort(tuple(np.asarray(rows.column(c)) for c in ("own", "j", "i", "gram")))
+    return rows.take(pa.array(order)).combine_chunks()
 
 
-def _compare(rows: pa.Table, percent: int, nearest: bool) -> pa.Table:
-    """(a, b, n, m, apart): pairs of different components that pass all filters; with nearest, the best one of each class."""
+def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
     gram, i, j, own, rep, n, pos = (np.asarray(rows.column(c)) for c in ("gram", "i", "j", "own", "rep", "n", "pos"))
-    order = np.lexsort((own, j, i, gram))
-    gram, i, j, own, rep, n, pos = (v[order] for v in (gram, i, j, own, rep, n, pos))
-    names, at = _classes_of(rows.column("fp").to_pylist())
-    raw = rows.column("parity").to_pylist()
-    parity: list[bytes] = [b""] * len(names)
-    for where, value in zip(at, raw, strict=True):
-        parity[where] = value
-    at = at[order]
-    base = np.stack([_folded(p, RANGES // 8) for p in parity])
     key = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-    best: list[tuple[np.ndarray, ...]] = []
+    return key, own, i, j, rep, n, pos
+
+
+def _with_partner(rows: pa.Table, percent: int) -> pa.Table:
+    """The rows that some row of another component can reach."""
+    rows = _in_blocks(rows)
+    key, own, i, j, rep, n, pos = _columns(rows)
+    coarse = np.frombuffer(b"".join(rows.column("coarse").to_pylist()), np.uint64).reshape(-1, COARSE // 8)
+    keep = np.zeros(len(n), bool)
     for x, y in _pairs_in_order(key, own, i, j):
-        need = np.ceil(percent * (n[x] + n[y]) / (100.0 + percent) - 1e-9)
-        ok = (rep[x] != rep[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
+        ok = (rep[x] != rep[y]) & _reach(n, pos, x, y, percent)
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(coarse[x] ^ coarse[y]).sum(1, dtype=np.int64) <= _most_apart(n[x], n[y], percent)
+        keep[x[ok]] = keep[y[ok]] = True
+    return rows.filter(pa.array(keep)).drop_columns(["bucket", "coarse"])
+
+
+def _compare(rows: pa.Table, percent: int, nearest: bool) -> pa.Table:
+    """Pairs of different components that pass all filters (pair true), distinct in this task.
+
+    With nearest, only the best one of each class, and the rows (pair false) that have others besides.
+    """
+    rows = _in_blocks(rows)
+    key, own, i, j, rep, n, pos = _columns(rows)
+    members, at = _classes_of(rows.column("fp"))
+    parity = rows.column("parity").take(pa.array(members)).to_pylist()
+    base, wide = np.stack([_folded(p, RANGES // 8) for p in parity]), np.array([len(p) for p in parity]) > RANGES // 8
+    found = [(at[:0],) * 3]
+    open_ = np.zeros(len(n), bool)
+    for x, y in _pairs_in_order(key, own, i, j):
+        ok = (rep[x] != rep[y]) & _reach(n, pos, x, y, percent)
         x, y = x[ok], y[ok]
         most, apart = _most_apart(n[x], n[y], percent), np.bitwise_count(base[at[x]] ^ base[at[y]]).sum(1, dtype=np.int64)
         ok = apart <= most
         x, y, apart, most = x[ok], y[ok], apart[ok], most[ok]
-        wide = np.flatnonzero(np.minimum(*(np.array([len(parity[k]) for k in at[v]], np.int64) for v in (x, y))) > RANGES // 8) if len(x) else x
-        if len(wide):
-            apart[wide] = least_apart([parity[k] for k in at[x[wide]]], [parity[k] for k in at[y[wide]]])
+        of = np.flatnonzero(wide[at[x]] & wide[at[y]])
+        if len(of):
+            apart[of] = least_apart([parity[k] for k in at[x[of]]], [parity[k] for k in at[y[of]]])
             ok = apart <= most
             x, y, apart = x[ok], y[ok], apart[ok]
         low, high = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
-        best.append(_thinned(low, high, apart, nearest))
-    low, high, apart = _thinned(*(np.concatenate(v) for v in zip(*best, strict=True)), nearest) if best else (at[:0], at[:0], at[:0])
-    size = np.zeros(len(names), np.int64)
-    size[at] = n
-    fp = pa.array([v.tobytes() for v in names], pa.binary())
-    return pa.table({"a": fp.take(pa.array(low)), "b": fp.take(pa.array(high)), "na": pa.array(size[low]), "nb": pa.array(size[high]), "apart": pa.array(apart)})
+        if nearest:
+            open_[x] = open_[y] = True
+        found.append(_thinned(low, high, apart, nearest))
+    low, high, apart = _thinned(*(np.concatenate(v) for v in zip(*found, strict=True)), nearest)
+    left = np.flatnonzero(open_)
+    fp = rows.column("fp").combine_chunks()
+    x = np.concatenate([members[low], left])
+    more = pa.array(np.concatenate([members[high], left]), pa.int64(), mask=np.arange(len(x)) >= len(low))
+    out = {"pair": np.arange(len(x)) < len(low), "other": fp.take(more), "apart": np.concatenate([apart, np.zeros(len(left), np.int64)])}
+    taken = rows.take(pa.array(x))
+    return pa.table({**out, **{c: taken.column(c) for c in (*KEPT, "i", "j", "own")}})
 
 
 def _thinned(low: np.ndarray, high: np.ndarray, apart: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,37 +398,37 @@ def _thinned(low: np.ndarray, high: np.ndarray, apart: np.ndarray, nearest: bool
     return low, high, apart
 
 
-def across(met: DataFrame, tied: DataFrame, classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """(a, b): pairs of classes in different components that meet on a shingle and pass all filters.
+KEPT = ("gram", "fp", "n", "pos", "rep")
+BLOCKS = "gram long, fp binary, n long, pos long, rep long, own long, i long, j long"
 
-    With nearest, at most one row a class: the pair that its parities call nearest. A shingle's classes come in blocks,
-    and every two blocks are compared in a task of their own, except two blocks of its largest component.
-    """
-    named = cut(met.select("gram", "fp", "n", "pos").join(tied, "fp"), "named")
-    sides = named.groupBy("gram", "rep").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("total"), F.max("c").alias("most"), F.max(F.struct("c", "rep"))["rep"].alias("top"), F.count("*").alias("reps")).where("reps > 1")
-    many = F.col("total") > BLOCK
-    sides = cut(sides.select("gram", "top", F.when(many, F.ceil((F.col("total") - F.col("most")) / BLOCK)).otherwise(F.lit(1)).alias("others"), F.when(many, F.ceil(F.col("most") / BLOCK)).otherwise(F.lit(0)).alias("tops"), "total", "most"), "sides")
-    sent = sides.agg(F.sum(F.when(F.col("tops") > 0, (F.col("total") - F.col("most")) * (F.col("others") + F.col("tops")) + F.col("most") * F.col("others")).otherwise(F.col("total")))).first()[0] or 0
-    place = F.xxhash64("fp")
-    own = F.when((F.col("tops") > 0) & (F.col("rep") == F.col("top")), F.col("others") + F.pmod(place, F.col("tops"))).otherwise(F.pmod(place, F.col("others")))
-    rows = spread_join(named, sides.select("gram", "top", "others", "tops"), "gram", "fp").withColumn("own", own)
-    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("tops")).otherwise(F.col("others")) - 1
-    rows = rows.join(classes.select("fp", "parity"), "fp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = rows.select("gram", "fp", "n", "pos", "rep", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(max(1, -(-int(sent) // TASK_ROWS)))))
-    pairs = dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, percent, nearest), "a binary, b binary, na long, nb long, apart long")
-    if not nearest:
-        return pairs.select("a", "b").distinct()
-    pairs = cut(pairs, "nearest")
-    sided = pairs.select("a", "b", "apart", F.col("a").alias("fp")).union(pairs.select("a", "b", "apart", "b"))
+
+def reachable(grams: _Grams, rows: DataFrame, percent: int) -> DataFrame:
+    """Postings, dealt in blocks, that pass all filters, the last one on coarse parities, with one of another component."""
+    return cut(grams.dealt(rows).groupBy("bucket").applyInArrow(lambda t: _with_partner(t, percent), BLOCKS), "reachable")
+
+
+def close(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs (pair true: fp, other, apart) among dealt postings that pass the suffix filter; see _compare."""
+    tasks = max(1, -(-rows.count() // (TASK_ROWS // 5)))
+    wanted = cut(rows.select("fp").distinct(), "wanted")
+    dealt = rows.join(_parities(classes, wanted), "fp").withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(tasks)))
+    return cut(dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, percent, nearest), "pair boolean, other binary, apart long, gram long, fp binary, n long, pos long, rep long, i long, j long, own long"), "close")
+
+
+def _distinct_pairs(found: DataFrame) -> DataFrame:
+    return found.where("pair").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"), "apart").distinct()
+
+
+def best_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): the nearest pair of each class."""
+    pairs = _distinct_pairs(found)
+    sided = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("fp"))
     return sided.groupBy("fp").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, lower: bool) -> DataFrame:
-    """(fp, shingles) of all classes in pairs: those in `have`, and the others from their whole texts."""
-    sides = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
-    if have is not None:
-        sides = sides.join(have.select("fp"), "fp", "left_anti")
-    wanted = cut(sides.join(classes.select("fp", "rep"), "fp"), "wanted")
+def rebuilt_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, lower: bool) -> DataFrame:
+    """(fp, shingles) of the wanted classes (fp), from their whole texts."""
+    wanted = cut(classes.select("fp", "rep").join(sent_if_few(wanted, FEW_NAMES), "fp", "left_semi"), "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,8 +442,7 @@ def rebuilt_sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, d
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(sent_if_few(wanted.select("rep")), "rep", "left_semi")
     built = chosen.select("text").mapInArrow(build, "fp binary, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    sets = cut(built, "sets")
-    return sets if have is None else sets.union(have)
+    return cut(built, "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -363,11 +466,13 @@ class _Join:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, lower: bool):
         self.source, self.percent = (docs, doc_id, text, k, lower), percent
-        self.signed = cut(signatures(docs, doc_id, text, k, percent, lower), "signed")
+        signed = cut(signatures(docs, doc_id, text, k, percent, lower), "signed")
+        self.signed = cut(signed.select("doc_id", "n", "fp"), "sizes")
         self.full = self.signed.where("n > 0 and doc_id is not null")
-        self.classes = cut(self.full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
+        self.classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("coarse").alias("coarse")), "classes")
+        discard(signed)
         self.names = self.classes.select("fp", "rep")
-        self.met = shared_postings(self.classes)
+        self.grams = _Grams(shared_postings(self.classes))
         self.sets = self.asked = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -376,9 +481,18 @@ class _Join:
             pairs = pairs.join(self.asked, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         docs, doc_id, text, k, lower = self.source
-        self.sets = rebuilt_sets(pairs, self.sets, self.classes, docs, doc_id, text, k, lower)
+        sides = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "sides")
+        missing = sides if self.sets is None else cut(sides.join(self.sets.select("fp"), "fp", "left_anti"), "missing")
+        built = rebuilt_sets(missing, self.classes, docs, doc_id, text, k, lower)
+        self.sets = built if self.sets is None else self.sets.union(built)
         self.asked = pairs if self.asked is None else self.asked.union(pairs)
-        return cut(verified(pairs, self.sets, self.percent), "linked")
+        own = self.sets.join(sent_if_few(sides, FEW_NAMES), "fp", "left_semi")
+        return cut(verified(pairs, own, self.percent), "linked")
+
+    def renamed(self, rows: DataFrame, tied: DataFrame) -> DataFrame:
+        """rows with the component that their class has by now."""
+        changed = cut(tied.toDF("_fp", "_rep").join(self.names, F.col("_fp") == F.col("fp")).where("rep <> _rep").select("_fp", "_rep"), "changed")
+        return rows.join(sent_if_few(changed, FEW_NAMES), F.col("fp") == F.col("_fp"), "left").withColumn("rep", F.coalesce("_rep", "rep")).select(*rows.columns)
 
     def tie(self, pairs: DataFrame, tied: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """tied (fp, rep), rep replaced by the component that the links among pairs give it."""
@@ -390,7 +504,8 @@ class _Join:
 def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> tuple[DataFrame, DataFrame]:
     """All links: (a, b), two class names, of every linked pair of different sets; and (doc_id, class), the members."""
     join = _Join(docs, doc_id, text, k, percent, lower)
-    links = join.links(across(join.met, join.names, join.classes, percent))
+    rows = reachable(join.grams, join.grams.met, percent)
+    links = join.links(_distinct_pairs(close(rows, join.classes, percent)).select("a", "b"))
     return links, join.full.select("doc_id", F.col("fp").alias("class"))
 
 
@@ -401,9 +516,19 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ids = join.full.select("doc_id", "fp").distinct()
     again = ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     same = ids.join(again, "doc_id").join(join.names, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    tied = join.tie(likely(with_first(join.met, percent), join.classes, percent), join.names, same)
-    for nearest in (True, False):
-        tied = join.tie(across(join.met, tied, join.classes, percent, nearest), tied)
+    tied = join.tie(likely(with_first(join.grams, percent), join.classes, percent), join.names, same)
+    found = close(reachable(join.grams, join.renamed(join.grams.met, tied), percent), join.classes, percent, nearest=True)
+    tied = join.tie(best_pairs(found), tied)
+    # the nearest of another component again, as long as that ties some; then all pairs that are left
+    for _ in range(NEAREST_ROUNDS):
+        rest = join.renamed(found.where("not pair").select(*KEPT, "own", "i", "j"), tied)
+        found = close(rest, join.classes, percent, nearest=True)
+        if not found.where("pair").head(1):
+            break
+        tied = join.tie(best_pairs(found), tied)
+    else:
+        rest = join.renamed(found.where("not pair").select(*KEPT, "own", "i", "j"), tied)
+        tied = join.tie(_distinct_pairs(close(rest, join.classes, percent)).select("a", "b"), tied)
     labels = tied.toDF("fp", "component_id")
     rest = join.signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return spread_join(join.full.select("doc_id", "n", "fp"), labels, "fp", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rest)

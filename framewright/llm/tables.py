@@ -24,16 +24,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that `cut` has written and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sent_if_few(ids: DataFrame) -> DataFrame:
-    """ids (one column of numbers, already written), to be broadcast where there are at most BROADCAST_IDS."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def sent_if_few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """rows (a few numbers each, already written), to be broadcast where there are at most `most`."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 #: A key of a join that many rows share is spread over so many tasks.
