@@ -7,8 +7,8 @@ the slot lie a 32-bit fingerprint, shard, offset and length. A look-up hashes, c
 its time does not depend on the number of documents.
 
 Defined results: a null text is empty and holds only the end id; rows with a null key come first; rows that repeat a key
-are kept, in the order of their texts, as occurrence 0, 1, ... of the key; an empty table gives no shards; extra columns are
-ignored.
+are kept as occurrence 0, 1, ... of the key, in the order of their texts (of the first LEADING characters where the key goes
+over several shards, as a frequent one does); an empty table gives no shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,33 +26,40 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut, shared_dir
-from .textops import mix
+from .textops import mix, pieces
 
 MAGIC = b"IDSHARD1"
 HEADER = "<8sIIQ"  # magic, bytes of an id, 0, ids
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1000
-#: Distinct words with what is glued to them, and distinct tokenizer words, whose ids a worker remembers; beyond that it
-#: starts afresh.
+#: Distinct parts of texts, and distinct tokenizer words, whose ids a worker remembers; beyond that it starts afresh.
 REMEMBERED, REMEMBERED_WORDS = 700_000, 800_000
+#: Bytes of text that are encoded at once.
+PIECE = 4 << 20
+#: Characters of a text that deal rows of one key over shards.
+LEADING = 32
 #: Fixed value: the tokenizer's own cut of a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 2
-_SINGLE = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
-_DOUBLE = re.compile("[\\s\u180e\u200b\ufeff]{2}")
+#: Blanks beyond ASCII; texts that hold any go to the tokenizer as a whole.
+_FAR_BLANKS = "[\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, as little-endian bytes.
+    """Ids of whole texts by a byte-level BPE tokenizer.
 
-    The tokenizer cuts a text before every single blank between two other characters, and ids of a part between cuts
-    do not depend on what surrounds it. Parts are cut further into the tokenizer's words, where all characters are Latin,
-    and each distinct word goes to the tokenizer once; its ids are remembered.
+    The tokenizer cuts a text before every single blank between two other characters, and ids of a part between cuts do
+    not depend on what surrounds it. Arrow finds the distinct parts of a piece of texts, each new one goes to the
+    tokenizer once (further cut into the tokenizer's words, where all characters are Latin), and numpy lays the
+    remembered ids out in the order of the texts.
     """
 
     def __init__(self, path: str):
@@ -73,8 +80,26 @@ class Encoder:
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
-        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _remember(self, parts: list[str], ids: list[bytes]) -> None:
+        flat, n = np.frombuffer(b"".join(ids), self.kind), len(self.known)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.kind)])
+        while n + len(parts) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
+        sizes = np.array([len(x) // self.kind.itemsize for x in ids], np.int64)
+        self.starts[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(parts)] = sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def _whole(self, texts: list[str]) -> Iterator[bytes]:
         for a in range(0, len(texts), 5000):
@@ -91,33 +116,62 @@ class Encoder:
         return ids
 
     def _learn(self, parts: list[str]) -> None:
-        """Ids of parts that follow a blank."""
-        known, words, cut, special, strange = self.known, self.words, self.cut, self.special, []
+        words, cut, special, plain, strange = self.words, self.cut, self.special, [], []
         for x in parts:
-            if (x.isascii() or max(x) < "\u0250") and not (special and special.search(x)):
-                own = cut(" " + x)
-                known[x] = b"".join([words.get(w) or self._word(w) for w in own])
+            # a part without its blank first may be the start of a text: words are the same
+            if x and (x.isascii() or max(x) < "\u0250") and not (special and special.search(x)):
+                plain.append(x)
             else:
                 strange.append(x)
-        known.update(zip(strange, self._whole([" " + x for x in strange]), strict=True))
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.kind).tobytes()
-        if not self.by_words:
-            return [ids + end for ids in self._whole(texts)]
-        heads, parts, fresh = [], [], set()
-        for text in texts:
-            own = _SINGLE.split(text) if text[:1] == " " or _DOUBLE.search(text) else text.split(" ")
-            heads.append(own[0])
-            del own[0]
-            parts.append(own)
-            fresh.update(own)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self._remember(plain, [b"".join([words.get(w) or self._word(w) for w in cut(x)]) for x in plain])
+        self._remember(strange, list(self._whole(strange)))
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of each part are remembered."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.known) + len(names) > REMEMBERED:
+            self._forget()
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        self._learn([x for x in fresh if x not in self.known])
-        return [first + b"".join(map(self.known.__getitem__, own)) + end for first, own in zip(self._whole(heads), parts, strict=True)]
+        self._learn([x for x in names if x not in self.known])
+        return np.array([self.known[x] for x in names], np.int64)[np.asarray(coded.indices)]
+
+    def _laid_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after another, and their numbers."""
+        n = self.sizes[places]
+        return self.ids[np.repeat(self.starts[places] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text), each text with end_id last, for some consecutive texts at once."""
+        texts = texts.fill_null("")
+        for row, end, data, offsets in pieces(texts, PIECE):
+            rows = end - row
+            whole = np.asarray(pc.match_substring_regex(texts.slice(row, rows), _FAR_BLANKS)) if self.by_words else np.ones(rows, bool)
+            if whole.any():
+                # rare: the other texts by parts, these as a whole
+                blobs = [np.zeros(0, self.kind)] * rows
+                for i in np.flatnonzero(~whole):
+                    ids, _ = self._by_parts(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                    blobs[i] = ids
+                at = np.flatnonzero(whole)
+                for i, ids in zip(at, self._whole(texts.slice(row, rows).take(pa.array(at)).to_pylist()), strict=True):
+                    blobs[i] = np.frombuffer(ids, self.kind)
+                sizes = np.array([len(x) for x in blobs], np.int64)
+                ids = np.concatenate(blobs)
+            else:
+                ids, sizes = self._by_parts(data, offsets)
+            yield np.insert(ids, np.cumsum(sizes), np.array(end_id, self.kind)), sizes + 1
+
+    def _by_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        solid, cut = ~_BLANK[data], np.zeros(len(data) + 1, bool)
+        cut[1 : len(data) - 1] = (data[1:-1] == 32) & solid[:-2] & solid[2:] if len(data) > 2 else False
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        ids, n = self._laid_out(self._places(parts)) if len(parts) else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        before = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(edges, offsets)]
+        return ids, np.diff(before)
 
 
 def encoder(path: str) -> Encoder:
@@ -200,7 +254,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "key").sortWithinPartitions("key", "text")
+    placed = rows.withColumn("leading", F.substring("text", 1, LEADING)).withColumn("row", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(max(1, -(-total // shard_bytes)), "key", "leading", "row").select("key", "text").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -211,13 +266,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         name = f"shard-{number:06d}-{uuid.uuid4().hex}.ids"
         keys, sizes, out = [], [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            keys += batch.column(0).to_pylist()
+            for ids, n in coder.encode(batch.column(1), end_id):
                 out = out or store.open_output_stream(f"{path}/{name}.body")
-                blobs = coder.encode(part.column(1).to_pylist(), end_id)
-                out.write(b"".join(blobs))
-                keys += part.column(0).to_pylist()
-                sizes += [len(b) // coder.kind.itemsize for b in blobs]
+                out.write(ids.tobytes())
+                sizes += n.tolist()
         if out is None:
             return
         out.close()
@@ -229,7 +282,23 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         n = np.array(sizes, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array([name] * len(n)), pa.array(keys, pa.int64()), pa.array(occurrence), pa.array(np.cumsum(n) - n), pa.array(n)], ["shard_no", "shard", "key", "occurrence", "first", "n_tokens"])
 
-    return cut(dealt.mapInArrow(write, "shard_no long, shard string, key long, occurrence long, first long, n_tokens long"), "manifest")
+    manifest = cut(dealt.mapInArrow(write, "shard_no long, shard string, key long, occurrence long, first long, n_tokens long"), "manifest")
+    return _counted_on(manifest)
+
+
+def _counted_on(manifest: DataFrame) -> DataFrame:
+    """manifest with occurrences that go on where a key goes on in the next shard; a window sees one row a shard."""
+    named = F.struct(F.col("key").isNotNull(), "key")
+    ends = manifest.groupBy("shard_no").agg(F.min(named).alias("low"), F.max(named).alias("high"))
+    on = cut(ends.withColumn("last", F.lag("high").over(Window.orderBy("shard_no"))).where("low = last").select(F.col("low.key").alias("key")).distinct(), "goes_on")
+    if on.isEmpty():
+        return manifest
+    on = F.broadcast(on)  # at most a key a shard
+    some = manifest.join(on, manifest["key"].eqNullSafe(on["key"]), "left_semi").groupBy("key", "shard_no").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.broadcast(cut(some.select(F.col("key").alias("_key"), F.col("shard_no").alias("_shard_no"), before.alias("_before")), "before"))
+    joined = manifest.join(before, manifest["key"].eqNullSafe(before["_key"]) & (F.col("shard_no") == F.col("_shard_no")), "left")
+    return cut(joined.select(*[(F.col("occurrence") + F.coalesce("_before", F.lit(0))).alias(c) if c == "occurrence" else F.col(c) for c in manifest.columns]), "manifest")
 
 
 def _with_bucket(rows: DataFrame, buckets: int) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from framewright.llm import token_store as T
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,7 +20,9 @@ def ids(text):
 @given(st.text(alphabet="ab1 '\n\t.é  ᠎中's<|endoftext>", max_size=40))
 def test_parts_encode_as_the_whole(text):
     coder = T.encoder(PATH)
-    assert np.frombuffer(coder.encode([text], T.END_ID)[0], coder.kind).tolist() == ids(text)
+    (got, sizes), = coder.encode(pa.array([text, None, text + " ", "x y"]), T.END_ID)
+    want = [ids(t) for t in (text, "", text + " ", "x y")]
+    assert got.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
 
 
 def test_perfect_hash_is_minimal():
@@ -52,3 +55,14 @@ def test_odd_rows(odd):
     assert [r.n_tokens for r in rows[1:3]] == [1, 1] and rows[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     assert T.op2_token_store(odd.limit(0)).count() == 0
+
+
+def test_one_key_over_several_shards(spark, tmp_path):
+    rows = [(7, f"text {i % 50}") for i in range(2000)] + [(None, "none")] * 500 + [(i, "one more") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = T.write_shards(docs, f"file://{tmp_path}/ids", PATH, shard_bytes=2000).collect()
+    assert len({r.shard for r in manifest if r.key == 7}) > 2
+    for key, n in ((7, 2001), (None, 500)):
+        assert sorted(r.occurrence for r in manifest if r.key == key) == list(range(n))
+    got = T.token_store(docs, folder=f"file://{tmp_path}/more").collect()
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(len(ids(t)) for _, t in rows)
