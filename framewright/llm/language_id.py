@@ -12,6 +12,7 @@ in code point order. Extra columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def _dense(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all rows of training; counted within each batch before the shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(1).dictionary_encode()
             langs, at = names.dictionary.to_pylist(), np.asarray(names.indices)
@@ -90,7 +91,7 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
                 r, c, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in r], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counted = training.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(count, "lang string, gram long, n long")
+    counted = training.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(counts, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -100,8 +101,11 @@ def learn_profiles(training: DataFrame, text: str = "text", lang: str = "lang",
     return gram_counts(training, text, lang).withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("lang", "gram", "place")
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score (1 at distance 0, 0 where no n-gram is in the profile)."""
+def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more, lang_pred and score (1 at distance 0, 0 where no n-gram is in the profile).
+
+    Columns of docs with these names are replaced; `into` gives others.
+    """
     learned = profiles.limit(MAX_PROFILE_ROWS + 1).toPandas()
     if len(learned) > MAX_PROFILE_ROWS:
         raise ValueError(f"more than {MAX_PROFILE_ROWS} profile rows: too many languages for one table")
@@ -142,7 +146,9 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
         done = [judge(part) for _, part in _chunks(values)]
         return pd.DataFrame({"lang_pred": [x for d in done for x in d[0]], "score": np.concatenate([d[1] for d in done]) if done else np.zeros(0)})
 
-    return docs.withColumn("_found", predict(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    own = [F.col(c) for c in docs.columns if c not in into]
+    found = docs.select(F.struct(*own).alias("doc"), predict(F.col(text)).alias("found"))
+    return found.select("doc.*", F.col("found.lang_pred").alias(into[0]), F.col("found.score").alias(into[1]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -158,4 +164,6 @@ def op7_language_id(docs: DataFrame) -> DataFrame:
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """docs without those whose language cannot be told (no letters, or no n-gram in common with any profile)."""
     profiles = learn_profiles(docs.where(~held_out()).select("text", "lang"))
-    return identify(docs, profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    fresh = tuple(next(n for i in count() if (n := f"{c}{i}") not in docs.columns) for c in ("lang", "score"))
+    found = identify(docs, profiles, into=fresh)
+    return found.where((F.col(fresh[0]) != UNKNOWN) & (F.col(fresh[1]) > 0)).select(*docs.columns)

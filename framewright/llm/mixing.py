@@ -113,18 +113,18 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     with a number first, by which each finds its own plan.
     """
     columns = docs.columns
-    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = mixed(docs, row="_row", **options).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("pieces").alias("_pieces"))
-    partial = F.when(F.size("_pieces") > 0, F.array(F.col("_pieces"))).otherwise(F.array().cast("array<array<struct<first:bigint,words:bigint>>>"))
-    entire = F.array_repeat(F.expr("cast(null as array<struct<first:bigint,words:bigint>>)"), F.col("_whole").cast("int"))
-    rows = docs.join(plan, "_row").select(*columns, "_size", F.explode(F.concat(entire, partial)).alias("_part"))
-    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
-    all_of_it = F.col("_part").isNull() | (F.aggregate("_part", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_size"))
-    text = F.when(all_of_it, F.col("text")).otherwise(F.concat_ws(" ", F.flatten(F.transform("_part", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int"))))))
-    rows = rows.withColumn("text", text)
+    rows = cut(docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    plan = mixed(rows.select("doc.doc_id", "doc.text", "doc.source", "row"), row="row", **options).where("taken > 0").select("row", "size", "whole", "pieces")
+    partial = F.when(F.size("pieces") > 0, F.array(F.col("pieces"))).otherwise(F.array().cast("array<array<struct<first:bigint,words:bigint>>>"))
+    entire = F.array_repeat(F.expr("cast(null as array<struct<first:bigint,words:bigint>>)"), F.col("whole").cast("int"))
+    laid = rows.join(plan, "row").select("doc", "size", F.explode(F.concat(entire, partial)).alias("part"))
+    words = F.expr(r"regexp_extract_all(doc.text, '[^\\x20\\x09-\\x0D]+', 0)")
+    all_of_it = F.col("part").isNull() | (F.aggregate("part", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size"))
+    cut_text = F.concat_ws(" ", F.flatten(F.transform("part", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))))
+    made = {"text": F.when(all_of_it, F.col("doc.text")).otherwise(cut_text)}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(all_of_it, F.col("n_chars")).otherwise(F.length("text")))
-    return rows.select(*columns)
+        made["n_chars"] = F.when(all_of_it, F.col("doc.n_chars")).otherwise(F.length(cut_text))
+    return laid.select(*[made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:

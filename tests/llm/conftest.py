@@ -1,8 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
+CLASHING = ("score", "lang_pred", "_size", "bucket", "row", "rep", "doc", "found", "part", "gram", "hash")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -34,4 +36,4 @@ def odd(spark):
         (7, long, "de", "c", len(long), "y"),
         (None, "le chat est sur la table", "fr", "c", 24, "y"),
     ]
-    return spark.createDataFrame(rows, DOCS + ", component_id string")
+    return spark.createDataFrame(rows, DOCS + ", component_id string").withColumns({c: F.lit("mine") for c in CLASHING})
