@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .losses import cross_entropy_row, ignore_label
+from .ranks import running_sums
 
 
 def confusion_matrix(scores: DataFrame, classes: DataFrame) -> DataFrame:
@@ -37,31 +38,47 @@ def _per_class(name: str) -> Column:
     return {"Accuracy": _share(tp, tp + fn), "Precision": _share(tp, tp + fp), "Recall": _share(tp, tp + fn), "F1": _share(2 * tp, 2 * tp + fp + fn), "Jaccard": _share(tp, tp + fp + fn)}[name]
 
 
-METRICS = ("Accuracy", "Precision", "Recall", "F1", "Jaccard")
+METRICS = ("Accuracy", "Precision", "Recall", "F1", "Jaccard", "AveragePrecision", "ConfusionMatrix")
 
 
-def metrics(matrix: DataFrame, names: str = "Jaccard", binary: bool = False, positive: int = 1) -> DataFrame:
-    """One row, a column per metric named in a comma-separated list: macro over classes that occur, or of one class."""
+def metrics(matrix: DataFrame, names: str = "Jaccard", binary: bool = False, positive: int = 1, scored: DataFrame | None = None) -> DataFrame:
+    """One row, a column per metric named in a comma-separated list: macro over classes that occur, or of one class.
+
+    AveragePrecision takes scored rows (class_id, score, positive 0/1). ConfusionMatrix is an array of (label, pred, n) by label
+    and pred: one entry per pair of classes, whatever the number of rows.
+    """
     wanted = [n.strip() for n in names.split(",") if n.strip()]
     known = {m.lower(): m for m in METRICS}
     if unknown := [n for n in wanted if n.lower() not in known]:
         raise ValueError(f"unknown metrics {unknown}; known: {', '.join(METRICS)}")
     wanted = [known[n.lower()] for n in wanted]
-    if binary:
-        right, total = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")
-        share = matrix.agg((right / total).alias("Accuracy"))
-        one = class_outcomes(matrix).where(F.col("label") == positive).select(*[_per_class(m).alias(m) for m in wanted if m != "Accuracy"])
-        return (one.crossJoin(share) if "Accuracy" in wanted else one).select(*wanted)
-    used = class_outcomes(matrix).where(F.col("tp") + F.col("fp") + F.col("fn") > 0)
-    return used.agg(*[F.avg(_per_class(m)).alias(m) for m in wanted])
+    parts = []
+    plain = [m for m in wanted if m not in ("AveragePrecision", "ConfusionMatrix")]
+    if binary and "Accuracy" in plain:
+        parts.append(matrix.agg((F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("Accuracy")))
+    own = [m for m in plain if not (binary and m == "Accuracy")]
+    if own and binary:
+        parts.append(class_outcomes(matrix).where(F.col("label") == positive).select(*[_per_class(m).alias(m) for m in own]))
+    elif own:
+        parts.append(class_outcomes(matrix).where(F.col("tp") + F.col("fp") + F.col("fn") > 0).agg(*[F.avg(_per_class(m)).alias(m) for m in own]))
+    if "AveragePrecision" in wanted:
+        if scored is None:
+            raise ValueError("AveragePrecision needs scored rows (class_id, score, positive)")
+        of = average_precision(scored)
+        parts.append((of.where(F.col("class_id") == positive) if binary else of).agg(F.avg("ap").alias("AveragePrecision")))
+    if "ConfusionMatrix" in wanted:
+        parts.append(matrix.agg(F.array_sort(F.collect_list(F.struct("label", "pred", "n"))).alias("ConfusionMatrix")))
+    out, *others = parts
+    for other in others:  # one row each
+        out = out.crossJoin(other)
+    return out.select(*wanted)
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """(class_id, ap) from rows (class_id, score, positive 0/1): sum of recall steps times precision over distinct scores."""
     steps = scored.groupBy("class_id", "score").agg(F.count("*").alias("n"), F.sum("positive").alias("p"))
-    down = Window.partitionBy("class_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("p").over(Window.partitionBy("class_id"))
-    run = steps.select("class_id", "p", F.sum("n").over(down).alias("seen"), F.sum("p").over(down).alias("hits"), total.alias("total"))
+    totals = steps.groupBy("class_id").agg(F.sum("p").alias("total"))
+    run = running_sums(steps, "class_id", [F.desc("score")], seen=F.col("n"), hits=F.col("p")).join(totals, "class_id")
     return run.where("total > 0").groupBy("class_id").agg(F.sum(F.col("p") / F.col("total") * F.col("hits") / F.col("seen")).alias("ap"))
 
 

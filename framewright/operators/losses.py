@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 IGNORED = -100
 
 
 def log_sum_exp(logits: Column) -> Column:
     """Stable: the largest logit is subtracted first."""
-    most = F.array_max(logits)
-    return most + F.log(F.aggregate(F.transform(logits, lambda v: F.exp(v - most)), F.lit(0.0), lambda a, v: a + v))
+
+    def above(l: Column, most: Column) -> Column:
+        return most + F.log(F.aggregate(l, F.lit(0.0), lambda a, v: a + F.exp(v - most)))
+
+    return bind(logits, lambda l: bind(F.array_max(l), lambda most: above(l, most)))
 
 
 def softmax(logits: Column) -> Column:
-    total = log_sum_exp(logits)
-    return F.transform(logits, lambda v: F.exp(v - total))
+    return bind(logits, lambda l: bind(log_sum_exp(l), lambda total: F.transform(l, lambda v: F.exp(v - total))))
 
 
 def argmax_class(logits: Column) -> Column:
@@ -27,7 +31,7 @@ def argmax_class(logits: Column) -> Column:
 
 
 def cross_entropy_row(logits: Column, label: Column) -> Column:
-    return log_sum_exp(logits) - F.get(logits, label)
+    return bind(logits, lambda l: log_sum_exp(l) - F.get(l, label))
 
 
 def ignore_label(rows: DataFrame, label: int = IGNORED) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import group_rank
+
 
 def class_index(manifest: DataFrame) -> DataFrame:
     """(class_name, class_idx): 0-based rank by name. Only the distinct names meet in one window."""
@@ -19,7 +21,7 @@ def with_class_index(manifest: DataFrame, classes: DataFrame | None = None) -> D
 
 def sample_index(manifest: DataFrame, order: str = "path") -> DataFrame:
     """manifest with sample_idx: 0-based position in its class."""
-    return manifest.withColumn("sample_idx", F.row_number().over(Window.partitionBy("class_name").orderBy(order)) - 1)
+    return group_rank(manifest, "class_name", order, name="sample_idx").withColumn("sample_idx", F.col("sample_idx") - 1)
 
 
 def class_counts(manifest: DataFrame, classes: DataFrame | None = None) -> DataFrame:

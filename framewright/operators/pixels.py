@@ -6,9 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
+
+def _gather(data: Column, source) -> Column:
+    """The value at source(i) for every place i."""
+    return bind(data, lambda d: F.transform(d, lambda _, i: F.get(d, source(i).cast("int"))))
+
 
 def gray_to_rgb(data: Column) -> Column:
     """Each value three times."""
@@ -18,23 +26,26 @@ def gray_to_rgb(data: Column) -> Column:
 def reorder_channels(data: Column, order: tuple[int, ...] = (2, 1, 0)) -> Column:
     """Channels of every pixel in another order; the default turns BGR into RGB and back."""
     c, picks = len(order), F.array(*map(F.lit, order))
-    return F.transform(data, lambda _, i: F.get(data, (i - i % c + F.get(picks, i % c)).cast("int")))
+    return _gather(data, lambda i: i - i % c + F.get(picks, i % c))
 
 
 def to_rgb(data: Column, channels: Column) -> Column:
     """RGB of a decoded image of 1 (gray), 3 (BGR) or 4 (BGRA) channels."""
-    four = F.flatten(F.transform(F.sequence(F.lit(0), (F.size(data) / 4).cast("int") - 1), lambda p: F.array(*[F.get(data, p * 4 + k) for k in (2, 1, 0)])))
-    return F.when(channels == 1, gray_to_rgb(data)).when(channels == 4, four).otherwise(reorder_channels(data))
+
+    def four(d: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(d) / 4).cast("int") - 1), lambda p: F.array(*[F.get(d, p * 4 + k) for k in (2, 1, 0)])))
+
+    return bind(data, lambda d: F.when(channels == 1, gray_to_rgb(d)).when(channels == 4, four(d)).otherwise(reorder_channels(d)))
 
 
 def to_chw(data: Column, height: Column, width: Column, channels: int = 3) -> Column:
     size = height * width
-    return F.transform(data, lambda _, i: F.get(data, ((i % size) * channels + F.floor(i / size)).cast("int")))
+    return _gather(data, lambda i: (i % size) * channels + F.floor(i / size))
 
 
 def to_hwc(data: Column, height: Column, width: Column, channels: int = 3) -> Column:
     size = height * width
-    return F.transform(data, lambda _, i: F.get(data, ((i % channels) * size + F.floor(i / channels)).cast("int")))
+    return _gather(data, lambda i: (i % channels) * size + F.floor(i / channels))
 
 
 def scale_unit(data: Column, dtype: Column) -> Column:
@@ -43,7 +54,8 @@ def scale_unit(data: Column, dtype: Column) -> Column:
 
 
 def normalize(data: Column, mean: Column, std: Column, channels: int = 3) -> Column:
-    return F.transform(data, lambda v, i: (v - F.get(mean, (i % channels).cast("int"))) / F.get(std, (i % channels).cast("int")))
+    both = F.struct(mean.alias("mean"), std.alias("std"))
+    return bind(both, lambda s: F.transform(data, lambda v, i: (v - F.get(s["mean"], (i % channels).cast("int"))) / F.get(s["std"], (i % channels).cast("int"))))
 
 
 def explode_pixels(images: DataFrame, data: str = "data", channels: int = 3, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
@@ -56,12 +68,12 @@ def hflip(data: Column, width: Column, channels: int) -> Column:
         pixel = F.floor(i / channels)
         return (pixel - pixel % width + width - 1 - pixel % width) * channels + i % channels
 
-    return F.transform(data, lambda _, i: F.get(data, source(i).cast("int")))
+    return _gather(data, source)
 
 
 def vflip(data: Column, height: Column, width: Column, channels: int) -> Column:
     row = width * channels
-    return F.transform(data, lambda _, i: F.get(data, ((height - 1 - F.floor(i / row)) * row + i % row).cast("int")))
+    return _gather(data, lambda i: (height - 1 - F.floor(i / row)) * row + i % row)
 
 
 def transpose(data: Column, height: Column, width: Column, channels: int) -> Column:
@@ -71,7 +83,7 @@ def transpose(data: Column, height: Column, width: Column, channels: int) -> Col
         pixel = F.floor(i / channels)
         return ((pixel % height) * width + F.floor(pixel / height)) * channels + i % channels
 
-    return F.transform(data, lambda _, i: F.get(data, source(i).cast("int")))
+    return _gather(data, source)
 
 
 def brightness_contrast(data: Column, alpha: Column, beta: Column) -> Column:
@@ -84,16 +96,18 @@ def gamma(data: Column, power: Column) -> Column:
 
 
 def channel_moments(data: Column, channels: int = 3) -> Column:
-    """array of (channel, n, mean, m2) of one image."""
-
-    def one(c: int) -> Column:
-        own = F.filter(data, lambda _, i: i % channels == c)
-        n = F.size(own)
-        mean = F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / n
-        m2 = F.aggregate(own, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-        return F.struct(F.lit(c).alias("channel"), n.cast("long").alias("n"), mean.alias("mean"), m2.alias("m2"))
-
-    return F.array(*map(one, range(channels)))
+    """array of (channel, n, mean, m2) of one image, by numpy on Arrow batches: one pass, whatever the image's size."""
+
+    @F.arrow_udf("array<struct<channel:int,n:bigint,mean:double,m2:double>>")
+    def moments(images: pa.Array) -> pa.Array:
+        values, out = np.asarray(images.flatten(), float), []
+        ends = np.cumsum(np.asarray(images.value_lengths().fill_null(0), np.int64))
+        for a, b, known in zip(np.concatenate([[0], ends[:-1]]), ends, images.is_valid().to_pylist(), strict=True):
+            parts = [values[a:b][c::channels] for c in range(channels)]
+            out.append([{"channel": c, "n": len(v), "mean": v.mean(), "m2": ((v - v.mean()) ** 2).sum()} for c, v in enumerate(parts) if len(v)] if known else None)
+        return pa.array(out, pa.list_(pa.struct([("channel", pa.int32()), ("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64())])))
+
+    return moments(data)
 
 
 def channel_stats(images: DataFrame, data: str = "data", channels: int = 3, ddof: int = 1, by: tuple[str, ...] = ()) -> DataFrame:

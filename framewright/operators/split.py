@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import group_rank
+
 
 def draw(seed: object, id_: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")))
@@ -12,7 +14,8 @@ def draw(seed: object, id_: str) -> Column:
 
 def shuffle_rank(rows: DataFrame, seed: object, by: str, id_: str = "sample_id", name: str = "rank") -> DataFrame:
     """rows with the 1-based position in a seeded shuffle of each group."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(draw(seed, id_), id_)))
+    drawn = rows.withColumn("_draw", draw(seed, id_))
+    return group_rank(drawn, by, "_draw", id_, name=name).drop("_draw")
 
 
 def seeded_sample(rows: DataFrame, k: int, seed: object, id_: str = "sample_id") -> DataFrame:

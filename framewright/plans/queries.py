@@ -464,6 +464,21 @@ def a16g(spark, d):
     return E.metrics(_matrix(spark, d), "f1, Jaccard,recall").select(*[r(m).alias(m) for m in ("F1", "Jaccard", "Recall")])
 
 
+@query("a16g_metrics_with_matrix", f"SELECT label, pred, n, acc AS Accuracy FROM v_cm, (SELECT round({MACRO['Accuracy']}, 6) AS acc FROM v_out WHERE tp + fp + fn > 0)")
+def a16g_matrix(spark, d):
+    found = E.metrics(_matrix(spark, d), "Accuracy, ConfusionMatrix")
+    return found.select(r("Accuracy").alias("Accuracy"), F.explode("ConfusionMatrix").alias("c")).select("c.label", "c.pred", "c.n", "Accuracy")
+
+
+AP_SINGLE = "SELECT 1 AS class_id, doc_id % 10 AS score, quality AS positive FROM labels"
+
+
+@query("a16g_metrics_average_precision", f"SELECT round({MACRO['F1']}, 6) AS F1, any_value(ap) AS AveragePrecision FROM v_out, (SELECT round(avg(ap), 4) AS ap FROM ({_ap_sql(AP_SINGLE)})) WHERE tp + fp + fn > 0")
+def a16g_ap(spark, d):
+    scored = table(spark, d, "labels").select(F.lit(1).alias("class_id"), (F.col("doc_id") % 10).alias("score"), F.col("quality").alias("positive"))
+    return E.metrics(_matrix(spark, d), "F1, AveragePrecision", scored=scored).select(r("F1").alias("F1"), r("AveragePrecision", 4).alias("AveragePrecision"))
+
+
 BATCH_MEAN = "SELECT round(sum(acc * n) / sum(n), 6) AS Accuracy FROM (SELECT b, sum(n) AS n, avg(coalesce(CAST(tp AS DOUBLE) / n, 0)) AS acc FROM (SELECT DISTINCT sample_id % 8 AS b, label FROM v_row UNION SELECT DISTINCT sample_id % 8, pred FROM v_row) LEFT JOIN (SELECT sample_id % 8 AS b, label, count(*) AS n, sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS tp FROM v_row GROUP BY ALL) USING (b, label) GROUP BY ALL)"
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.params import infer_param
-from ..operators.pixels import default_stats, to_rgb
+from ..operators.pixels import default_stats
 
 IMAGE = "struct<height:int,width:int,nChannels:int,layout:string,dtype:string,data:array<double>>"
 
@@ -29,12 +32,26 @@ def by_extension(files: DataFrame, *extensions: str) -> DataFrame:
     return files.where(found)
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _rgb(data: pa.Array, channels: pa.Array) -> pa.Array:
+    """RGB values of decoded bytes of 1 (gray), 3 (BGR) or 4 (BGRA) channels."""
+    images = []
+    for raw, c in zip(data, channels.to_pylist(), strict=True):
+        if not raw.is_valid or not c:
+            images.append(None)
+            continue
+        pixels = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, c)
+        images.append((np.repeat(pixels, 3, 1) if c == 1 else pixels[:, 2::-1]).ravel())
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in images])
+    values = np.concatenate([x for x in images if x is not None] or [np.zeros(0)]).astype(float)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array([x is None for x in images]))
+
+
 def decode_images(spark: SparkSession, root: str, glob: str = "*", keep_bad: bool = False, flat: bool = False) -> DataFrame:
     """(path, image): RGB, channel last, 0 to 255. Bad files are dropped, or kept with a null image."""
     raw = spark.read.format("image").option("dropInvalid", not keep_bad).option("pathGlobFilter", glob).load(root if flat else f"{root}/*/").select("image.*")
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("double"))
     good = (F.col("height") > 0) & (F.length("data") > 0)
-    image = F.struct(F.col("height"), F.col("width"), F.lit(3).alias("nChannels"), F.lit("HWC").alias("layout"), F.lit("uint8").alias("dtype"), to_rgb(bytes_, F.col("nChannels")).alias("data"))
+    image = F.struct(F.col("height"), F.col("width"), F.lit(3).alias("nChannels"), F.lit("HWC").alias("layout"), F.lit("uint8").alias("dtype"), _rgb(F.when(good, F.col("data")), F.col("nChannels")).alias("data"))
     return raw.select(clean_path("origin").alias("path"), F.when(good, image).cast(IMAGE).alias("image"))
 
 

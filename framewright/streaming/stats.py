@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def streaming_channel_stats(stream: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """The streaming aggregate (keys, n, mean, std) over everything seen so far, for output mode complete."""
@@ -15,10 +16,19 @@ def streaming_channel_stats(stream: DataFrame, keys: tuple[str, ...], value: str
 
 
 def run_available(stats: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming aggregate over all files that are there; its result as a table of the session."""
+    """Run a streaming aggregate over all files that are there; its last result as a table in the shared folder.
+
+    Each batch writes the whole result to a folder of its own, so a batch that is repeated after a failure replaces its own.
+    """
     spark = stats.sparkSession
-    name = f"stats_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="framewright-")
-    writer = stats.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{shared}/{name}").format("memory").queryName(name)
+    folder = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    last = {}
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        path = f"{folder}/batch-{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        last["path"] = path
+
+    writer = stats.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/state").foreachBatch(keep)
     writer.start().awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stats.schema).parquet(last["path"]) if last else spark.createDataFrame([], stats.schema)

@@ -267,3 +267,40 @@ def test_stream_grows_with_files(spark, tmp_path):
         got = sorted(map(tuple, ST.run_available(ST.streaming_channel_stats(stream, ("k",), "v")).collect()))
         want = sorted(map(tuple, spark.read.parquet(path).groupBy("k").agg(F.count("v"), F.avg("v"), F.stddev_samp("v")).collect()))
         assert got == [pytest.approx(w) for w in want]
+
+
+def test_a_photograph_takes_seconds(spark, tmp_path):
+    """280 x 280 pixels decoded, measured and augmented: nothing is worked out again for every element."""
+    from time import time
+
+    side = 280
+    (tmp_path / "a").mkdir()
+    picture = spark._jvm.java.awt.image.BufferedImage(side, side, 1)
+    for i in range(0, side, 7):
+        picture.setRGB(i, side - 1 - i, 0x102030 + i)
+    spark._jvm.javax.imageio.ImageIO.write(picture, "png", spark._jvm.java.io.File(str(tmp_path / "a" / "x.png")))
+    began = time()
+    image = io.decode_images(spark, str(tmp_path)).select(F.lit(1).alias("sample_id"), "image.height", "image.width", F.transform("image.data", lambda v: v / 255).alias("data"))
+    stats = {r.channel: r.mean for r in P.channel_stats(image).collect()}
+    lit = [sum(((0x102030 + i) >> s) & 255 for i in range(0, side, 7)) / 255 / side**2 for s in (16, 8, 0)]
+    assert [round(stats[c], 9) for c in range(3)] == [round(v, 9) for v in lit]
+    three = F.array(*[F.lit(0.5)] * 3)
+    done = G.augment(image.withColumns({"p_scale": F.lit(1.5), "mean": three, "std": three}), 3, side).select(F.size("data").alias("n")).collect()
+    assert done[0].n == 3 * side * side
+    wide = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda v: (v * (F.col("id") + 1) % 97) / 10).alias("logits"))
+    assert wide.select(F.aggregate(L.softmax(F.col("logits")), F.lit(0.0), lambda a, v: a + v).alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    assert time() - began < 60
+
+
+def test_one_class_of_nearly_all_rows(spark):
+    """Ranks of a class that lies in many partitions go on from one to the next."""
+    rows = spark.range(5000).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("class_name")).repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = {r.sample_id: r.rank for r in S.shuffle_rank(rows, 42, "class_name").collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    import hashlib
+
+    for name, ids in (("b", range(0, 5000, 10)), ("a", [i for i in range(5000) if i % 10])):
+        order = sorted(ids, key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+        assert [got[i] for i in order] == list(range(1, len(order) + 1)), name
