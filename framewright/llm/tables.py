@@ -7,16 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Ids (8 bytes each) that a join may send to every executor; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not conf:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{conf.rstrip('/')}/framewright-{spark.sparkContext.applicationId}"
+    """A folder of this application in the one that all executors share."""
+    return f"{shared_folder(spark)}/framewright-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
