@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 PROFILE = 300
 UNKNOWN = "und"
 #: One profile row is 24 bytes; the table of profiles is sent to every executor only up to this many rows.
 MAX_PROFILE_ROWS = 3_000_000
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -91,6 +93,7 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
                 r, c, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in r], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
+    small_batches(training.sparkSession)
     counted = training.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(counts, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

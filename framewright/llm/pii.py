@@ -2,12 +2,14 @@
 
 Base detectors give exact spans of four kinds. High-recall generators propose further, overlapping spans: written-out
 or bracketed mail addresses, numbers in groups with any separators, addresses with odd dots. Boosted trees score each
-candidate by its format and context. They learn from candidates that a strict check can label (mail addresses with a plain
-domain, parts up to 255, check digits, digit counts after a plus) against proposals that fail it; the check itself is no
-feature. Numbers without a plus and spelled-out addresses have no label. The trees are fitted on at most TRAIN_ROWS of the
-labelled candidates; all others calibrate. The threshold is the lowest score from which at least PRECISION of these are
-right; where there is none, nothing is added. Candidates from it on are taken by score, those that overlap a base span or a better
-candidate are dropped. Base spans always stay.
+candidate by its format and context. A strict check labels candidates of plain format (mail addresses with a plain domain
+against ends of sentences, parts up to 255, check digits, digit counts after a plus). Each labelled candidate also has hidden
+forms: at and dot written out or in brackets, other separators, no plus, with its label, and a date made of a phone number's
+digits, with label 0; so are numbers without a plus that lie on a base span. So a plain format by itself tells no label,
+and the trees know the forms that base detectors miss. They are fitted on at most TRAIN_ROWS labelled candidates and their
+hidden forms; all others calibrate: a kind's threshold is the lowest score from which at least PRECISION of its candidates and
+of its hidden forms are right; where there is none, nothing is added. Candidates from it on are taken by score, those that
+overlap a base span or a better candidate are dropped. Base spans always stay.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are judged each on its own; without candidates
 of both labels nothing is added; extra columns are ignored. Offsets are code points, ends exclusive.
@@ -18,9 +20,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from .tables import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,19 +48,36 @@ PRECISION = 0.98
 CONTEXT = 24
 
 
+#: Matches that are placed one after another before blocks of them are: work grows with the matches of a text, not their square.
+_TOGETHER = 256
+_SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """array of (start, end, match) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    start = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def add(state: Column, item: Column) -> Column:
         at = state["at"] + item["gap"]
         end = at + F.length(item["match"])
         return F.struct(F.array_append(state["spans"], F.struct(at.alias("start"), end.alias("end"), item["match"].alias("match"))).alias("spans"), end.alias("at"))
 
-    items = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(items, F.struct(start.alias("spans"), F.lit(0).alias("at")), add, lambda s: s["spans"])
+    def block(items: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(items, b * _TOGETHER + 1, F.lit(_TOGETHER)), F.struct(F.array().cast(_SPANS).alias("spans"), F.lit(0).alias("at")), add)
+
+    def shifted(state: Column, own: Column) -> Column:
+        moved = bind(state["at"], lambda at: F.transform(own["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["match"].alias("match"))))
+        return F.struct(F.array_append(state["spans"], moved).alias("spans"), (state["at"] + own["at"]).alias("at"))
+
+    def placed(items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / _TOGETHER).cast("int") - 1))
+        blocks = F.transform(numbers, lambda b: block(items, b))
+        return F.aggregate(blocks, F.struct(F.array().cast(f"array<{_SPANS}>").alias("spans"), F.lit(0).alias("at")), shifted, lambda s: F.flatten(s["spans"]))
+
+    both = F.struct(found.alias("found"), gaps.alias("gaps"))
+    items = bind(both, lambda x: F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.struct(g.alias("gap"), m.alias("match"))))
+    return bind(items, placed)
 
 
 def _digits(text: Column) -> Column:
@@ -130,10 +150,14 @@ def features() -> dict[str, Column]:
         "longest_group": F.array_max(F.transform(F.concat(F.array(F.lit("")), F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), lambda g: F.length(g))).cast("double"),
         "kinds_of_digit": F.size(F.array_distinct(F.split(_digits(m), ""))).cast("double"),
         "plus": m.startswith("+").cast("double"),
-        "at_sign": m.contains("@").cast("double"),
         "glued_before": before.rlike(r"[A-Za-z0-9_/.@#-]$").cast("double"),
         "glued_after": after.rlike(r"^[A-Za-z0-9_/@#]").cast("double"),
         "label_before": F.lower(word).isin("tel", "phone", "call", "mobile", "fax", "mail", "email", "card", "visa", "ip", "address", "contact").cast("double"),
+        "check_digit": F.coalesce(F.when(F.length(_digits(m)).between(13, 19), luhn(_digits(m))), F.lit(False)).cast("double"),
+        "small_parts": F.forall(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda g: F.length(F.regexp_replace(g, "^0+", "")) < 4).cast("double"),
+        "byte_parts": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[0-9]{1,9}"), F.lit(0)), lambda g: g.cast("int"))) <= 255, F.lit(False)).cast("double"),
+        "blank_after_dot": m.rlike(r"[^ ]\. ").cast("double"),
+        "capital_last": m.rlike(r"[^A-Za-z][A-Z][a-z]*$").cast("double"),
         "line_start": (before.rlike(r"\n\s*$") | (before == "")).cast("double"),
     }
 
@@ -152,32 +176,98 @@ def label() -> Column:
     )
 
 
-def _threshold(scored: DataFrame) -> float:
-    """Lowest score from which PRECISION of the calibration rows (score, label) are right; above 1 if there is none."""
-    rows = scored.groupBy(F.round("score", 3).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("right")).orderBy(F.desc("score")).collect()
-    n = right = 0
-    best = 2.0
-    for r in rows:  # at most 1,001 scores
-        n, right = n + r["n"], right + r["right"]
-        if right >= PRECISION * n:
-            best = r["score"]
+def disguises(order: Column) -> Column:
+    """array of (match, label) that a labelled candidate (kind, match, label) also trains as; order chooses the form."""
+    m, kind = F.col("match"), F.col("kind")
+
+    def pick(values: list[str], part: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.shiftright(order, 5 * part), F.lit(len(values))) + 1).cast("int"))
+
+    at, dot = pick([" (at) ", "(at)", " [at] ", "[at]", "{at}", " at "], 0), pick([" (dot) ", "(dot)", "[dot]", " dot ", "."], 1)
+    local, domain = F.regexp_extract(m, r"^(.*?) ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?(.*)$", 1), F.regexp_extract(m, r"^(.*?) ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?(.*)$", 2)
+    mail = F.concat(local, at, F.when(F.col("label") == 1, F.replace(domain, F.lit("."), dot)).otherwise(domain))
+    ip = F.replace(m, F.lit("."), pick(["[.]", "(.)", " . "], 0))
+    card = F.call_function("concat_ws", pick([" ", "-", ".", "_", " - "], 0), F.regexp_extract_all(_digits(m), F.lit("[0-9]{1,4}"), F.lit(0)))
+    digits = _digits(m)
+    # the same number as it is dialled at home or from abroad, and a date
+    groups = F.call_function("concat_ws", pick([" ", "-", "."], 1), F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.expr("substring(regexp_replace(match, '[^0-9]', ''), 7)"))
+    home = F.call_function("concat_ws", pick([" ", "-", "."], 2), F.concat(F.lit("0"), F.substring(digits, 2, 2)), F.substring(digits, 4, 4), F.substring(digits, 8, 4))
+    phone = F.when(m.startswith("+"), F.when(F.pmod(order, F.lit(2)) == 0, F.substring(m, 2, 1000)).otherwise(groups)).otherwise(m)
+    year, month, day = F.concat(F.lit("20"), F.substring(digits, 3, 2)), F.concat(F.lit("0"), F.substring(digits, 5, 1)), F.concat(F.lit("1"), F.substring(digits, 6, 1))
+    dates = [F.call_function("concat_ws", pick(["-", ".", " "], 1), *parts) for parts in ((year, month, day), (day, month, year))]
+
+    def form(match: Column, value: Column) -> Column:
+        return F.struct(match.alias("match"), value.cast("double").alias("label"))
+
+    same = F.col("label")
+    mails = F.array(form(mail, same), form(F.regexp_replace(mail, "[0-9]", ""), same))
+    phones = F.when(same == 1, F.array(form(phone, same), form(home, same), *[form(d, F.lit(0.0)) for d in dates])).otherwise(F.array(form(phone, same)))
+    return F.when(kind == "email", mails).when(kind == "ip", F.array(form(ip, same))).when(kind == "card", F.array(form(card, same))).otherwise(phones)
+
+
+def _lowest(scored: DataFrame) -> dict[str, float]:
+    """For each kind, the lowest score from which PRECISION of its rows (kind, score, label) are right, if any."""
+    rows = scored.groupBy("kind", F.round("score", 3).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("right")).orderBy("kind", F.desc("score")).collect()
+    best, n, right = {}, {}, {}
+    for r in rows:  # at most 1,001 scores a kind
+        n[r["kind"]], right[r["kind"]] = n.get(r["kind"], 0) + r["n"], right.get(r["kind"], 0) + r["right"]
+        if right[r["kind"]] >= PRECISION * n[r["kind"]]:
+            best[r["kind"]] = r["score"]
     return best
 
 
+def _threshold(scored: DataFrame) -> dict[str, float]:
+    """Thresholds from the labelled candidates that did not train."""
+    return _lowest(scored)
+
+
 def added_spans(candidates: DataFrame) -> DataFrame:
-    """(row, kind, start, end, score) of the candidates (row, hash, kind, start, end, match, before, after) that trees select."""
+    """(row, kind, start, end, score) of the open candidates (row, hash, kind, start, end, match, before, after, open) that trees select."""
     named = features()
-    ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(candidates.withColumns(named).withColumn("label", label()).withColumn("order", F.xxhash64("hash", "kind", "start", "end")))
-    train = cut(ready.where("label is not null and order % 3 <> 0").select("features", "label", "order").orderBy("order").limit(TRAIN_ROWS), "train")
-    known = train.agg(F.count_distinct("label").alias("labels"), F.max("order").alias("last")).first()
+    collect = VectorAssembler(inputCols=list(named), outputCol="features")
+
+    def ready(rows: DataFrame, *keep: str) -> DataFrame:
+        return collect.transform(rows.withColumns(named)).select("features", *keep)
+
+    labelled = candidates.withColumn("label", label()).withColumn("order", F.xxhash64("hash", "kind", "start", "end"))
+    known = labelled.where("label is not null")
+    plain = cut(ready(known, "kind", "label", "order"), "plain")
+    hidden = known.select("*", F.explode(disguises(F.col("order"))).alias("as")).withColumns({"match": F.col("as.match"), "label": F.col("as.label")}).drop("as")
+    lying_on_base = labelled.where("kind = 'phone' and label is null and not open").withColumn("label", F.lit(0.0))
+    hidden = cut(ready(hidden.unionByName(lying_on_base), "kind", "label", "order"), "hidden")
+    chosen = plain.where("order % 3 <> 0").orderBy("order").limit(TRAIN_ROWS)
+    seen = chosen.agg(F.count_distinct("label").alias("labels"), F.max("order").alias("last")).first()
     none = candidates.where("1 = 0").select("row", "kind", "start", "end", F.lit(0.0).alias("score"))
-    if known["labels"] < 2:
+    if seen["labels"] < 2:
         return none
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=5, featuresCol="features", labelCol="label").fit(train)
+    trains = (F.col("order") % 3 != 0) & (F.col("order") <= seen["last"])
+    # the hidden forms of the chosen ones, at most four each, and as many lying on base spans at most
+    train = cut(chosen.union(hidden.where(trains).orderBy("order").limit(5 * TRAIN_ROWS).select(*chosen.columns)), "train")
+    model = GBTClassifier(maxIter=20, maxDepth=5, seed=5, featuresCol="features", labelCol="label").fit(train)
     score = vector_to_array("probability")[1].alias("score")
-    scored = cut(model.transform(ready).select("row", "kind", "start", "end", "label", "order", score), "scored")
-    least = _threshold(scored.where("label is not null").where((F.col("order") % 3 == 0) | (F.col("order") > known["last"])).select("score", "label"))
-    return scored.where(F.col("score") >= least).select("row", "kind", "start", "end", "score")
+    first, second = (model.transform(rows.where(~trains)).select("kind", score, "label") for rows in (plain, hidden))
+    least, also = _threshold(first), _lowest(second)
+    least = {k: max(least[k], also[k]) for k in least if k in also}
+    if not least:
+        return none
+    scored = model.transform(ready(candidates.where("open"), "row", "kind", "start", "end")).select("row", "kind", "start", "end", score)
+    floor = F.create_map(*[x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(v))])
+    return cut(scored.where(F.round("score", 3) >= F.element_at(floor, F.col("kind"))), "added")
+
+
+def candidates_of(found: DataFrame) -> DataFrame:
+    """(row, hash, kind, start, end, match, before, after, open) of the proposals; open ones overlap no base span.
+
+    Base spans and proposals of a text are swept once from either end, so work grows with their number.
+    """
+    proposals_ = found.select("row", "hash", F.explode("proposed").alias("p")).select("row", "hash", "p.*", F.lit(False).alias("is_base"))
+    base = found.select("row", "hash", F.explode("base").alias("b")).select("row", "hash", "b.kind", "b.start", "b.end", F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), F.lit(True).alias("is_base"))
+    from_left = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    from_right = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.when(F.col("is_base"), F.col("end"))).over(from_left), F.lit(0)) <= F.col("start")
+    begins = F.min(F.when(F.col("is_base"), F.col("start"))).over(from_right)
+    swept = proposals_.union(base).withColumn("open", ended & F.coalesce(begins >= F.col("end"), F.lit(True)))
+    return swept.where("not is_base").drop("is_base")
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,9 +275,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(doc_id, body).alias("hash"), base_spans(body).alias("base"), proposals(body).alias("proposed"))
     found = cut(found, "found")
-    free = F.filter("proposed", lambda p: ~F.exists("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
-    every = found.select("row", "hash", F.explode("proposed").alias("p"), F.transform(free, lambda p: F.struct(p["kind"], p["start"], p["end"])).alias("free")).select("row", "hash", "p.*", F.array_contains("free", F.struct("p.kind", "p.start", "p.end")).alias("open"))
-    chosen = added_spans(every).join(every.where("open").select("row", "kind", "start", "end"), ["row", "kind", "start", "end"])
+    chosen = added_spans(cut(candidates_of(found), "candidates"))
     # a span is dropped when a better one overlaps it; candidates of a row are few, but all of them count
     better = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "start", "end", "kind"))).alias("c"))
 

@@ -18,9 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/framewright-{spark.sparkContext.applicationId}"
 
 
+#: Bytes of an Arrow batch; Spark's own 64 MB of texts take some hundred MB in each Python worker and executor.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES from now on, unless the session names a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages survive lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -35,6 +47,7 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
