@@ -45,8 +45,8 @@ BLOCK, TASK_ROWS = 1024, 100_000
 NEAREST_ROUNDS = 3
 #: Class names (16 bytes, and a component) that are broadcast at most.
 FEW_NAMES = 500_000
-#: Pairs that a task holds at once.
-PAIRS = 1 << 16
+#: Pairs, and bytes of their parities, that a task holds at once.
+PAIRS, PAIR_BYTES = 1 << 14, 4 << 20
 
 
 def _sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -277,8 +277,9 @@ def least_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     out = np.zeros(len(sizes), np.int64)
     for size in np.unique(sizes):
         of = np.flatnonzero(sizes == size)
-        p, q = (np.stack([_folded(v[i], int(size)) for i in of]) for v in (x, y))
-        out[of] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+        for some in np.array_split(of, -(-len(of) * int(size) // PAIR_BYTES)):
+            p, q = (np.stack([_folded(v[i], int(size)) for i in some]) for v in (x, y))
+            out[some] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
     return out
 
 
@@ -355,6 +356,7 @@ def _compare(rows: pa.Table, percent: int, nearest: bool) -> pa.Table:
     key, own, i, j, rep, n, pos = _columns(rows)
     members, at = _classes_of(rows.column("fp"))
     parity = rows.column("parity").take(pa.array(members)).to_pylist()
+    rows = rows.drop_columns(["parity"])
     base, wide = np.stack([_folded(p, RANGES // 8) for p in parity]), np.array([len(p) for p in parity]) > RANGES // 8
     found = [(at[:0],) * 3]
     open_ = np.zeros(len(n), bool)
