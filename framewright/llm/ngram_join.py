@@ -40,8 +40,8 @@ SKETCH = 1 << 16
 RANGES, RANGES_EACH = 2048, 4
 #: Bytes of the coarse parities that go with every posting.
 COARSE = 64
-#: Classes of one shingle that are compared as one block, and rows that one task gets.
-BLOCK, TASK_ROWS = 1024, 100_000
+#: Classes of one shingle that are compared as one block; postings that one group gets, and those with whole parities.
+BLOCK, TASK_ROWS, PARITY_ROWS = 1024, 50_000, 5_000
 NEAREST_ROUNDS = 3
 #: Class names (16 bytes, and a component) that are broadcast at most.
 FEW_NAMES = 500_000
@@ -352,11 +352,14 @@ def _compare(rows: pa.Table, percent: int, nearest: bool) -> pa.Table:
 
     With nearest, only the best one of each class, and the rows (pair false) that have others besides.
     """
-    rows = _in_blocks(rows)
-    key, own, i, j, rep, n, pos = _columns(rows)
     members, at = _classes_of(rows.column("fp"))
     parity = rows.column("parity").take(pa.array(members)).to_pylist()
-    rows = rows.drop_columns(["parity"])
+    order = np.lexsort(tuple(np.asarray(rows.column(c)) for c in ("own", "j", "i", "gram")))
+    rows = _in_blocks(rows.drop_columns(["parity"]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    members, at = place[members], at[order]
+    key, own, i, j, rep, n, pos = _columns(rows)
     base, wide = np.stack([_folded(p, RANGES // 8) for p in parity]), np.array([len(p) for p in parity]) > RANGES // 8
     found = [(at[:0],) * 3]
     open_ = np.zeros(len(n), bool)
@@ -411,7 +414,7 @@ def reachable(grams: _Grams, rows: DataFrame, percent: int) -> DataFrame:
 
 def close(rows: DataFrame, classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs (pair true: fp, other, apart) among dealt postings that pass the suffix filter; see _compare."""
-    tasks = max(1, -(-rows.count() // (TASK_ROWS // 5)))
+    tasks = max(1, -(-rows.count() // PARITY_ROWS))
     wanted = cut(rows.select("fp").distinct(), "wanted")
     dealt = rows.join(_parities(classes, wanted), "fp").withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(tasks)))
     return cut(dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, percent, nearest), "pair boolean, other binary, apart long, gram long, fp binary, n long, pos long, rep long, i long, j long, own long"), "close")

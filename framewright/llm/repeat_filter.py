@@ -20,7 +20,7 @@ from .textops import mix, runs
 
 #: Bytes of text that one part of hashes, or one bucket of rows, stands for; and hashes of one block.
 SPLIT_BYTES = 2 << 20
-BLOCK = 500_000
+BLOCK = 250_000
 ASK = "part long, blob binary"
 ANSWER = "bucket long, blob binary"
 EARLIER, REPEATED, SHARED = "earlier", "repeated", "shared"

@@ -70,6 +70,7 @@ def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         end = min(end, len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
