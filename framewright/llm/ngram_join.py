@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType
 from . import repeat_filter as R
 from . import textops as X
 from .components import components
-from .tables import cut, discard, sent_if_few, spread_join
+from .tables import cut, discard, scratch, sent_if_few, spread_join
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
 SKETCH = 1 << 16
@@ -545,7 +545,9 @@ def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near-duplicates (the smallest doc_id); rows with a null doc_id stay."""
-    found = cut(similar_documents(docs), "found")
+    with scratch() as made:
+        found = cut(similar_documents(docs), "found")
+        made.remove(found)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(sent_if_few(gone), "doc_id", "left_anti").select(*docs.columns)
     again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")

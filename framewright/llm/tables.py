@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that `cut` writes inside are removed at the end, except those taken out of the list."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+        for df in made:
+            discard(df)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages survive lost executors."""
     spark = df.sparkSession
@@ -37,6 +55,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
