@@ -38,7 +38,7 @@ HEADER = "<8sIIQ"  # magic, bytes of an id, 0, ids
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1000
 #: Distinct parts of texts, and distinct tokenizer words, whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED, REMEMBERED_WORDS = 200_000, 200_000
+REMEMBERED, REMEMBERED_WORDS = 400_000, 400_000
 #: Bytes of text that are encoded at once.
 PIECE = 4 << 20
 #: Characters of a text that deal rows of one key over shards.
