@@ -75,6 +75,8 @@ class Encoder:
         self.by_words = shape["model"]["type"] == "BPE" and not shape.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
         special = "|".join(re.escape(t["content"]) for t in shape["added_tokens"])
         self.special = re.compile(special) if special else None
+        #: A part of letters only is one of the tokenizer's words, where no special token may lie in it.
+        self.letters_only = not any(t["content"].replace(" ", "").isalpha() for t in shape["added_tokens"])
         self.model, self.cut = self.tokenizer.model, regex.compile(WORDS).findall
         # byte-level BPE writes printable bytes as themselves and numbers the others from 256 on
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -116,26 +118,36 @@ class Encoder:
         return ids
 
     def _learn(self, parts: list[str]) -> None:
-        words, cut, special, plain, strange = self.words, self.cut, self.special, [], []
+        words, cut, special, plain, ids, strange = self.words, self.cut, self.special, [], [], []
         for x in parts:
             # a part without its blank first may be the start of a text: words are the same
-            if x and (x.isascii() or max(x) < "\u0250") and not (special and special.search(x)):
+            if not x or not (x.isascii() or max(x) < "\u0250"):
+                strange.append(x)
+            elif self.letters_only and (x[1:] if x[0] == " " else x).isalpha():
                 plain.append(x)
-            else:
+                ids.append(words.get(x) or self._word(x))
+            elif special and special.search(x):
                 strange.append(x)
-        self._remember(plain, [b"".join([words.get(w) or self._word(w) for w in cut(x)]) for x in plain])
+            else:
+                plain.append(x)
+                ids.append(b"".join([words.get(w) or self._word(w) for w in cut(x)]))
+        self._remember(plain, ids)
         self._remember(strange, list(self._whole(strange)))
 
     def _places(self, parts: pa.Array) -> np.ndarray:
         """Where the ids of each part are remembered."""
         coded = parts.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(names) > REMEMBERED:
             self._forget()
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        self._learn([x for x in names if x not in self.known])
-        return np.array([self.known[x] for x in names], np.int64)[np.asarray(coded.indices)]
+        places = list(map(self.known.get, names))
+        new = [i for i, at in enumerate(places) if at is None]
+        self._learn([names[i] for i in new])
+        for i in new:
+            places[i] = self.known[names[i]]
+        return np.array(places, np.int64)[np.asarray(coded.indices)]
 
     def _laid_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts, one after another, and their numbers."""
