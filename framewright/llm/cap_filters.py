@@ -3,8 +3,10 @@
 Filter directions are products of random codes: the space, turned at random, is cut into PARTS blocks with `codes` unit
 codes each, and every choice of one code per block is a direction. A vector passes all directions whose inner product with
 it exceeds a threshold (decoded block by block, dropping sums that cannot reach it any more), and its best direction.
-Vectors meet on common filters and are verified by cosine in double precision. The threshold is set once by simulation so
-that pairs at exactly the least cosine share a filter with probability RECALL.
+Vectors meet on common filters and are verified by cosine in double precision. The threshold is set once by simulation of
+PAIRS pairs so that pairs at exactly the least cosine share a filter with probability RECALL, for any number of codes.
+Unless `codes` is given, there is a direction for every VECTORS_A_DIRECTION distinct vectors (at least LEAST_CODES codes a
+block; no upper limit), so that a filter's list doesn't grow with the input.
 
 A filter's vectors are dealt into blocks of about BLOCK and every two blocks are compared as matrices; a pair counts only
 at the smallest filter both pass. What leaves a task is one row per vector (its links there, the smallest vector it reaches
@@ -30,6 +32,9 @@ from .textops import runs
 
 PARTS = 2
 RECALL = 0.985
+PAIRS = 4000
+VECTORS_A_DIRECTION = 12
+LEAST_CODES = 64
 BLOCK = 1024
 SEED = 11
 
@@ -45,23 +50,37 @@ class Caps:
         for b in self.blocks:
             c = rng.normal(size=(codes, len(b)))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(self.blocks)))
-        x, y = rng.normal(size=(2, 400, size))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y -= (x * y).sum(1, keepdims=True) * x
-        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(1e-300, np.linalg.norm(y, axis=1, keepdims=True))
-        best = np.array([np.minimum(*(self._all(v[None])[0] for v in p)).max() for p in zip(x, y, strict=True)])
-        self.threshold = float(np.quantile(best, 1 - recall))
+        shared = []
+        for n in [200] * (PAIRS // 200):
+            x, y = rng.normal(size=(2, n, size))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            y -= (x * y).sum(1, keepdims=True) * x
+            y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(1e-300, np.linalg.norm(y, axis=1, keepdims=True))
+            products = zip(*self._products(x), *self._products(y), strict=True)
+            shared += [self._shared(p[: len(self.blocks)], p[len(self.blocks) :]) for p in products]
+        self.threshold = float(np.quantile(shared, 1 - recall))
+
+    @staticmethod
+    def _shared(x: tuple, y: tuple) -> float:
+        """The highest threshold at which two vectors, given by their products, still pass a direction together."""
+        best = [np.argmax(p + q) for p, q in zip(x, y, strict=True)]
+        least = min(sum(p[i] for p, i in zip(v, best, strict=True)) for v in (x, y)) - 1e-12
+        tops = [(p.max(), q.max()) for p, q in zip(x, y, strict=True)]
+        of_x, of_y = np.zeros(1), np.zeros(1)
+        for i, (p, q) in enumerate(zip(x, y, strict=True)):
+            # a direction above `least` for both holds only codes that reach it with the best of all other blocks
+            others = [sum(t[k] for j, t in enumerate(tops) if j != i) for k in (0, 1)]
+            few = (p + others[0] >= least) & (q + others[1] >= least)
+            left = [sum(t[k] for t in tops[i + 1 :]) for k in (0, 1)]
+            of_x, of_y = (of_x[:, None] + p[few]).ravel(), (of_y[:, None] + q[few]).ravel()
+            on = (of_x + left[0] >= least) & (of_y + left[1] >= least)
+            of_x, of_y = of_x[on], of_y[on]
+        return float(np.minimum(of_x, of_y).max())
 
     def _products(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = unit @ self.turn
         return [turned[:, b] @ c.T for b, c in zip(self.blocks, self.codes, strict=True)]
 
-    def _all(self, unit: np.ndarray) -> np.ndarray:
-        first, *rest = self._products(unit)
-        for p in rest:
-            first = (first[:, :, None] + p[:, None, :]).reshape(len(unit), -1)
-        return first
-
     def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that each unit vector exceeds, and of its best one; ordered, distinct."""
         products = self._products(unit)
@@ -85,6 +104,11 @@ def usable(column: str):
     return x.isNotNull() & (F.size(x) > 0) & good & F.exists(x, lambda v: v != 0)
 
 
+def _width(codes: int) -> str:
+    """Bytes of a filter's number in a list."""
+    return "<u4" if codes**PARTS <= 1 << 32 else "<i8"
+
+
 def _unit(raw: list[bytes], kind: np.dtype) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -105,21 +129,21 @@ def passed_filters(vectors: DataFrame, codes: int, cosine: float, kind: np.dtype
                 for n in np.unique(lengths):
                     of = np.flatnonzero(lengths == n)
                     rows, names = caps.value[n].passed(_unit([raw[i] for i in of], kind))
-                    lists = [names[a:b].astype("<u4").tobytes() for a, b in zip(*runs(rows), strict=True)]
+                    lists = [names[a:b].astype(_width(codes)).tobytes() for a, b in zip(*runs(rows), strict=True)]
                     pick = pa.array(of[rows], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([int(n)] * len(rows), pa.int64()), pa.array(names, pa.int64()), part.column(0).take(pick), part.column(1).take(pick), pa.array([raw[i] for i in of[rows]], pa.binary()), pa.array([lists[i] for i in rows], pa.binary())], ["size", "filter", "rep", "copies", "raw", "filters"])
 
     return vectors.select("rep", "copies", "vec").mapInArrow(decode, "size long, filter long, rep long, copies long, raw binary, filters binary")
 
 
-def _compare(rows: pa.Table, cosine: float, kind: np.dtype) -> pa.Table:
+def _compare(rows: pa.Table, cosine: float, kind: np.dtype, width: str) -> pa.Table:
     """Links within one block of a filter, or between two of its blocks: (rep, n, root)."""
     name = rows.column("filter")[0].as_py()
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     own = np.asarray(rows.column("own"))
     ids, copies = np.asarray(rows.column("rep")), np.asarray(rows.column("copies"))
     unit = _unit(rows.column("raw").to_pylist(), kind)
-    lists = [np.frombuffer(x, "<u4") for x in rows.column("filters").to_pylist()]
+    lists = [np.frombuffer(x, width) for x in rows.column("filters").to_pylist()]
     owner, known = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
     before = known < name
     names, at = np.unique(known[before], return_inverse=True)
@@ -152,12 +176,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec")).withColumn("good", F.coalesce(usable("vec") & F.col("vec_id").isNotNull(), F.lit(False)))
     good = rows.where("good").select("vec_id", "vec")
     classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"), "vectors")
-    codes = codes or int(min(256, max(64, np.ceil((classes.count() / 12) ** 0.5))))
+    codes = codes or max(LEAST_CODES, int(np.ceil((classes.count() / VECTORS_A_DIRECTION) ** (1 / PARTS))))
     met = cut(passed_filters(classes, codes, cosine, kind), "filters")
     blocks = cut(met.groupBy("size", "filter").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     dealt = met.join(blocks, ["size", "filter"]).withColumn("own", F.pmod(F.xxhash64("rep", "raw"), F.col("blocks")))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    found = cut(pairs.groupBy("size", "filter", "i", "j").applyInArrow(lambda t: _compare(t, cosine, kind), "rep long, n long, root long"), "links")
+    found = cut(pairs.groupBy("size", "filter", "i", "j").applyInArrow(lambda t: _compare(t, cosine, kind, _width(codes)), "rep long, n long, root long"), "links")
     label = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     settled = classes.join(counts, "rep", "left").join(label, F.col("rep") == F.col("node"), "left")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from framewright.llm import cap_filters as C
 
 from .conftest import SF
@@ -33,20 +34,30 @@ def test_against_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-def test_recall_at_the_limit():
+@pytest.mark.parametrize("codes", [16, 64, 256, 700])
+def test_recall_at_the_limit(codes):
     rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(2, 500, 64))
+    x, y = rng.normal(size=(2, 1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y = 0.9 * x + 0.19**0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
-    caps = C.Caps(64, 64, 0.9)
+    caps = C.Caps(64, codes, 0.9)
     lists = []
     for v in (x, y):
         rows, names = caps.passed(v)
-        lists.append([set(names[rows == i]) for i in range(500)])
-        every = caps._all(v[:20])
+        lists.append([set(p.tolist()) for p in np.split(names, np.flatnonzero(np.diff(rows)) + 1)])
+        first, second = caps._products(v[:20])
+        every = (first[:, :, None] + second[:, None, :]).reshape(20, -1)
         assert all(set(np.flatnonzero(every[i] >= caps.threshold)) | {every[i].argmax()} == lists[-1][i] for i in range(20))
-    assert np.mean([bool(a & b) for a, b in zip(*lists, strict=True)]) >= 0.93
+    assert np.mean([bool(a & b) for a, b in zip(*lists, strict=True)]) >= 0.97
+
+
+def test_highest_shared_threshold():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = rng.normal(size=(2, 2, 30))
+        every = [(v[0][:, None] + v[1][None]).ravel() for v in (x, y)]
+        assert abs(C.Caps._shared(tuple(x), tuple(y)) - np.minimum(*every).max()) < 1e-9
 
 
 def test_odd_rows(spark):
