@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from framewright.llm import window_dedup as W
 
 from .conftest import words
@@ -42,6 +44,7 @@ def test_odd_rows(odd, spark):
     rows = W.op8_window_dedup(odd).collect()
     assert len(rows) == 9 and all(r.n_removed == 0 for r in rows)
     long = odd.where("doc_id = 7")
-    copies = long.union(long).union(long.selectExpr("9L", "text", "lang", "source", "n_chars", "component_id")).union(long.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "component_id"))
+    other, none = (long.withColumn("doc_id", F.lit(i).cast("long")) for i in (9, None))
+    copies = long.union(long).union(other).union(none)
     assert sorted((str(r.doc_id), r.n_removed) for r in W.op8_window_dedup(copies).collect()) == [("7", 0), ("7", 0), ("9", 60_000), ("None", 0)]
     assert W.op8_window_dedup(odd.limit(0)).count() == 0
