@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_repeats import op5_byte_repeats
 from .cap_filters import op10_cap_filters
 from .chat_format import OP13_SQL, op13_chat_format
+from .conversation_repair import op12_conversation_repair
 from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
 from .mixing import op3_source_mixing
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_window_dedup": over(op8_window_dedup, "documents"),
         "op9_url_filter": over(op9_url_filter, "pages"),
         "op10_cap_filters": over(op10_cap_filters, "embeddings"),
+        "op12_conversation_repair": over(op12_conversation_repair, "conversations"),
         "op13_chat_format": over(op13_chat_format, "conversations"),
     }
 
