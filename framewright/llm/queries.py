@@ -10,8 +10,9 @@ from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
 from .mixing import op3_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
-from .tables import table
 from .pii import op1_pii
+from .prefix_trie import OP11_SQL, op11_prefix_trie
+from .tables import table
 from .token_store import op2_token_store
 from .url_filter import OP9_SQL, op9_url_filter
 from .window_dedup import op8_window_dedup
@@ -32,10 +33,11 @@ def queries() -> dict:
         "op8_window_dedup": over(op8_window_dedup, "documents"),
         "op9_url_filter": over(op9_url_filter, "pages"),
         "op10_cap_filters": over(op10_cap_filters, "embeddings"),
+        "op11_prefix_trie": over(op11_prefix_trie, "conversations"),
         "op12_conversation_repair": over(op12_conversation_repair, "conversations"),
         "op13_chat_format": over(op13_chat_format, "conversations"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL, "op13_chat_format": OP13_SQL}
+    return {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}
