@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import group_rank
+from .selection import smallest
 
 
 def draw(seed: object, id_: str) -> Column:
@@ -19,8 +20,8 @@ def shuffle_rank(rows: DataFrame, seed: object, by: str, id_: str = "sample_id",
 
 
 def seeded_sample(rows: DataFrame, k: int, seed: object, id_: str = "sample_id") -> DataFrame:
-    """The first k rows of a seeded shuffle of all rows."""
-    return rows.orderBy(draw(seed, id_), id_).limit(max(0, k))
+    """The first k rows of a seeded shuffle of all rows; see `smallest`."""
+    return smallest(rows.withColumn("_draw", draw(seed, id_)), k, "_draw", id_).drop("_draw")
 
 
 def sorted_scan(rows: DataFrame, *columns: str) -> DataFrame:
@@ -46,7 +47,7 @@ def stratified_split(samples: DataFrame, factors: DataFrame, val_split: float =
     Classes under 3 rows are left out; those of 3 give one row to each part; rare ones (factor >= rare) give
     max(1, round(0.3 n)) rows to test and to val. The others share a pool, cut to max_total less the train and val rows
     given so far, and each splits what survives: a fifth to test, 1 - val_split of the rest to val. Rounding is
-    half-even. Windows see ids and hashes only.
+    half-even. Windows see ids and hashes only, and the room for the pool comes from the class sizes, before any split.
     """
     counted = samples.select("sample_id", "class_name").join(factors.select("class_name", "n", "factor"), "class_name").where("n >= 3")
     forced = (F.col("n") == 3) | (F.col("factor") >= rare)
@@ -54,7 +55,8 @@ def stratified_split(samples: DataFrame, factors: DataFrame, val_split: float =
     k = F.greatest(F.lit(1), F.bround(F.lit(0.3) * F.col("n"))).cast("long")
     fixed = first.select("sample_id", "class_name", _parts(F.col("rank"), F.col("n"), k, k).alias("split"))
     pool = counted.where(~forced).select("sample_id", "class_name")
-    left = max_total - fixed.where("split <> 'test'").count()
+    given = F.when(F.col("n") == 3, F.lit(2)).otherwise(F.col("n") - k)
+    left = max_total - (factors.where((F.col("n") >= 3) & forced).agg(F.sum(given)).first()[0] or 0)
     pool = seeded_sample(pool, left, f"{seed}:cut")
     sizes = pool.groupBy("class_name").agg(F.count("*").alias("m")).where("m >= 3")
     second = shuffle_rank(pool.join(sizes, "class_name"), f"{seed}:common", "class_name")

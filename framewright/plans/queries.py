@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import manifest as M
 from ..operators import pixels as P
 from ..operators import split as S
 from ..sources import io
+from ..sources.shared import shared_folder
 from ..streaming import stats as ST
 from . import views as V
 from .views import split_sql, table, with_views
@@ -126,6 +128,12 @@ def l2(spark, d):
     return S.seeded_sample(V.v_samples(spark, d), 500, SEED)
 
 
+@query("l2_half_of_all", "SELECT sample_id, class_name FROM (SELECT *, row_number() OVER (ORDER BY md5('7:' || sample_id), sample_id) AS p, count(*) OVER () AS n FROM v_orders) WHERE p <= n // 2")
+def l2_half(spark, d):
+    o = V.v_orders(spark, d)
+    return S.seeded_sample(o, o.count() // 2, 7)
+
+
 @query("n1_union_splits", "SELECT split, class_name, count(*) AS n FROM t_split GROUP BY ALL", SPLIT)
 def n1(spark, d):
     s = _split(spark, d)
@@ -678,6 +686,23 @@ def st1(spark, d):
     return done.select("event_type", "n", r("mean", 4).alias("mean"), r("std", 4).alias("std"))
 
 
+@query("st1_resumed_image_stats", "SELECT class_name, 0 AS channel, round(avg(p / 255), 6) AS mean, round(stddev_samp(p / 255), 6) AS std, true AS resumed FROM v_pix GROUP BY ALL")
+def st1_resumed(spark, d):
+    """Images arrive in two drops; the job runs after the first, again without news, and after the second."""
+    images, folder = _unit(spark, d).select("sample_id", "class_name", "data"), f"{shared_folder(spark)}/drops-{uuid.uuid4().hex}"
+    half = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 1), 16, 10).cast("int") < 8
+
+    def run() -> DataFrame:
+        stream = spark.readStream.schema(images.schema).parquet(f"{folder}/images")
+        return ST.run_available(ST.streaming_image_stats(stream, ("class_name",), channels=1), f"{folder}/job")
+
+    images.where(half).write.mode("append").parquet(f"{folder}/images")
+    first, again = run(), run()
+    same = not first.exceptAll(again).count() and first.count() == again.count() > 0
+    images.where(~half).write.mode("append").parquet(f"{folder}/images")
+    return run().select("class_name", "channel", r("mean").alias("mean"), r("std").alias("std"), F.lit(same).alias("resumed"))
+
+
 @query("s6_parse_data_stats", "SELECT 'c' || (doc_id % 50) AS class_name, avg(0.25::DOUBLE) AS mean, avg(0.5::DOUBLE) AS std FROM documents GROUP BY ALL")
 def s6(spark, d):
     """The statistics of a file made of the documents' ids, read back."""

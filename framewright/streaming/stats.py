@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pixels import channel_stats
 from ..sources.shared import shared_folder
+from .store import ResultStore
 
 
 def streaming_channel_stats(stream: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
@@ -15,20 +17,23 @@ def streaming_channel_stats(stream: DataFrame, keys: tuple[str, ...], value: str
     return stream.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+def streaming_image_stats(stream: DataFrame, keys: tuple[str, ...] = (), data: str = "data", channels: int = 3, ddof: int = 1) -> DataFrame:
+    """(keys, channel, mean, std) over every pixel of every image seen so far: the state holds sums for each key and channel."""
+    return channel_stats(stream, data, channels, ddof, keys)
+
+
 def run_available(stats: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming aggregate over all files that are there; its last result as a table in the shared folder.
+    """Run a streaming aggregate over the files that came since the last run with this checkpoint; its result so far.
 
-    Each batch writes the whole result to a folder of its own, so a batch that is repeated after a failure replaces its own.
+    With a checkpoint, results stand in `results` beside the query's state, so a run that finds no new file returns
+    what the run before it returned, and a run in another session goes on from there. Without one, each call starts anew.
+    A checkpoint belongs to one query: its schema and keys may not change.
     """
     spark = stats.sparkSession
-    folder = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
-    last = {}
-
-    def keep(rows: DataFrame, batch: int) -> None:
-        path = f"{folder}/batch-{batch}"
-        rows.write.mode("overwrite").parquet(path)
-        last["path"] = path
-
-    writer = stats.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/state").foreachBatch(keep)
-    writer.start().awaitTermination()
-    return spark.read.schema(stats.schema).parquet(last["path"]) if last else spark.createDataFrame([], stats.schema)
+    folder = checkpoint.rstrip("/") if checkpoint else f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    store = ResultStore(spark, f"{folder}/results")
+    writer = stats.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(store.write)
+    query = writer.start()
+    query.awaitTermination()
+    last = store.latest(stats.schema)
+    return spark.createDataFrame([], stats.schema) if last is None else last
