@@ -56,9 +56,9 @@ def test_planted_items(documents, spark):
 
 
 def test_odd_rows(odd, spark):
-    b = spark.createDataFrame([(1, None), (2, ""), (3, "cat sat"), (4, "The cat sat on the mat today."), (None, "le chat est sur la table")], "item_id long, text string")
+    b = spark.createDataFrame([(1, None), (2, ""), (3, "cat sat"), (4, "The cat sat on the mat today."), (None, "le chat est sur la table"), (5, "Two, WORDS"), (6, "words two"), (7, "today"), (4, "The cat sat on the mat today.")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in D.contaminated(odd, b).collect()), key=str)
-    assert got == [(3, 4), (3, 4), (4, 4), (None, None)]
+    assert got == sorted([(d, i) for d in (3, 3, 4) for i in (3, 4, 4, 7)] + [(5, 5), (None, None)], key=str)
     kept = D.drop_contaminated(odd, b)
-    assert kept.columns == odd.columns and kept.count() == 5
+    assert kept.columns == odd.columns and kept.count() == 4
     assert D.contaminated(odd, b.limit(0)).count() == 0 and D.contaminated(odd.limit(0), b).count() == 0
