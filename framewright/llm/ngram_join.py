@@ -32,6 +32,7 @@ from pyspark.sql.types import LongType
 from . import repeat_filter as R
 from . import textops as X
 from .components import components
+from ..operators.ranks import group_rank
 from .tables import cut, discard, scratch, sent_if_few, spread_join
 
 #: Counters of the frequency sketch. It only orders shingles, so collisions cost speed, never links.
@@ -544,15 +545,29 @@ def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates (the smallest doc_id); rows with a null doc_id stay."""
+    """docs with one document of each group of near-duplicates (the smallest doc_id); rows with a null doc_id stay.
+
+    Where a doc_id stands on several rows, rows count one by one: of rows that are equal in all columns one stays, and those of different texts
+    stay or go with the group of their own text; of a group's rows with the smallest doc_id, the one whose text, then whole row has
+    the least MD5 stays. Neither the order nor the partitioning of the input matters.
+    """
+    rows, key = docs, "doc_id"
+    known = docs.where("doc_id is not null")
+    repeats = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        rows, key = _numbered(known), "_near_row"
     with scratch() as made:
-        found = cut(similar_documents(docs), "found")
+        found = cut(similar_documents(rows, key), "found")
         made.remove(found)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(sent_if_few(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    again = sent_if_few(again)
-    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(single)
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone").toDF(key)
+    kept = rows.join(sent_if_few(gone), key, "left_anti").select(*docs.columns)
+    return kept if rows is docs else kept.unionByName(docs.where("doc_id is null"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Distinct rows of docs with _near_row, their place by doc_id, MD5 of the text and MD5 of the row."""
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
+    rows = cut(docs.withColumn("_near_key", whole).dropDuplicates(["_near_key"]), "distinct")
+    order = rows.select("doc_id", F.md5("text").alias("_near_text"), "_near_key", F.lit(1).alias("_near_all"))
+    ranked = group_rank(order, "_near_all", "doc_id", "_near_text", "_near_key", name="_near_row").select("_near_key", "_near_row")
+    return cut(rows.join(ranked, "_near_key").drop("_near_key"), "numbered")

@@ -51,3 +51,28 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "6", "7", "None"]
     assert J.op4_ngram_jaccard_join(odd.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts of one id are judged each on its own, whatever the order of the rows."""
+    same = [f"w{i}" for i in range(60)]
+    near = " ".join([*same[:59], "other"])
+    rows = [
+        (5, "one two three four five six", "a"),
+        (5, "red green blue white black grey", "a"),
+        (5, "one two three four five six", "a"),
+        (5, "one two three four five six", "b"),
+        (6, "sun moon star sky cloud rain", "a"),
+        (7, " ".join(same), "a"),
+        (8, near, "a"),
+        (8, "quite another text of one id here", "a"),
+        (9, "red green blue white black grey", "c"),
+        (None, "sun moon star sky cloud rain", "d"),
+        (None, "sun moon star sky cloud rain", "d"),
+    ]
+    schema = "doc_id long, text string, source string"
+    kept = [sorted((str(r.doc_id), r.text) for r in J.keep_one_of_each(spark.createDataFrame(x, schema).repartition(n)).collect()) for x, n in ((rows, 1), (rows[::-1], 5))]
+    want = [("5", rows[0][1]), ("5", rows[1][1]), ("6", rows[4][1]), ("7", rows[5][1]), ("8", rows[7][1]), ("None", rows[9][1]), ("None", rows[9][1])]
+    assert kept[0] == kept[1] == sorted(want)
+    again = [sorted(map(str, J.keep_one_of_each(spark.createDataFrame(x, schema)).collect())) for x in (rows, rows[::-1])]
+    assert again[0] == again[1]
