@@ -192,7 +192,7 @@ def disguises(order: Column) -> Column:
     # the same number as it is dialled at home or from abroad, and a date
     groups = F.call_function("concat_ws", pick([" ", "-", "."], 1), F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.expr("substring(regexp_replace(match, '[^0-9]', ''), 7)"))
     home = F.call_function("concat_ws", pick([" ", "-", "."], 2), F.concat(F.lit("0"), F.substring(digits, 2, 2)), F.substring(digits, 4, 4), F.substring(digits, 8, 4))
-    phone = F.when(m.startswith("+"), F.when(F.pmod(order, F.lit(2)) == 0, F.substring(m, 2, 1000)).otherwise(groups)).otherwise(m)
+    phone = F.when(m.startswith("+"), F.when(F.pmod(order, F.lit(2)) == 0, F.expr("substring(match, 2)")).otherwise(groups)).otherwise(m)
     year, month, day = F.concat(F.lit("20"), F.substring(digits, 3, 2)), F.concat(F.lit("0"), F.substring(digits, 5, 1)), F.concat(F.lit("1"), F.substring(digits, 6, 1))
     dates = [F.call_function("concat_ws", pick(["-", ".", " "], 1), *parts) for parts in ((year, month, day), (day, month, year))]
 
@@ -276,15 +276,19 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(doc_id, body).alias("hash"), base_spans(body).alias("base"), proposals(body).alias("proposed"))
     found = cut(found, "found")
     chosen = added_spans(cut(candidates_of(found), "candidates"))
-    # a span is dropped when a better one overlaps it; candidates of a row are few, but all of them count
-    better = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "start", "end", "kind"))).alias("c"))
+    # a span is dropped when a better one overlaps it: only spans of one place, where no gap lies between, are compared
+    before = Window.partitionBy("row").orderBy("start", "end", "kind")
+    reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = chosen.withColumn("opens", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1)))
+    placed = opens.withColumn("at", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    better = placed.groupBy("row", "at").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "start", "end", "kind"))).alias("c"))
 
     def take(kept: Column, c: Column) -> Column:
         clash = F.exists(kept, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))
         return F.when(clash, kept).otherwise(F.array_append(kept, F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    picked = better.select(F.col("row").alias("_row"), F.aggregate("c", none, take).alias("added"))
+    picked = better.select(F.col("row").alias("_row"), F.aggregate("c", none, take).alias("some")).groupBy("_row").agg(F.flatten(F.collect_list("some")).alias("added"))
     return found.join(picked, F.col("row") == F.col("_row"), "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
