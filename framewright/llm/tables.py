@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
-#: Ids (8 bytes each) that a join may send to every executor; more of them are joined by a shuffle.
+#: Ids (8 bytes each) that a join may send to every executor, and bytes of rows of any width; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a row takes in a broadcast table besides its columns.
+ROW_BYTES = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,9 +75,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_bytes(rows: DataFrame) -> int:
+    """Bytes of a row of numbers and digests in a broadcast table; other columns have no bound."""
+    widths = {"string": 40, "binary": 24}
+    if odd := [c for c, t in rows.dtypes if t not in widths and not re.fullmatch("(tiny|small|big)?int|float|double|boolean", t)]:
+        raise ValueError(f"no bound on the size of {', '.join(odd)}")
+    return ROW_BYTES + sum(widths.get(t, 8) for _, t in rows.dtypes)
+
+
 def sent_if_few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """rows (a few numbers each, already written), to be broadcast where there are at most `most`."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+    """rows (a few numbers or digests each, already written), to be broadcast where they are at most `most` and BROADCAST_BYTES."""
+    return F.broadcast(rows) if rows.count() <= min(most, BROADCAST_BYTES // row_bytes(rows)) else rows
 
 
 #: A key of a join that many rows share is spread over so many tasks.
