@@ -724,3 +724,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from . import file_queries  # noqa: E402, F401  adds its queries

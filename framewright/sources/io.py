@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.params import infer_param
 from ..operators.pixels import default_stats
+from .files import write_files
 
 IMAGE = "struct<height:int,width:int,nChannels:int,layout:string,dtype:string,data:array<double>>"
 
@@ -116,11 +117,6 @@ def typed_params(params: DataFrame) -> DataFrame:
     return params.select("run_id", "section", "key", "value", F.col("p.*")) if "p" in params.columns else params.withColumn("p", infer_param(F.col("value"))).select("run_id", "section", "key", "value", "p.*")
 
 
-def write_tensors(images: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """All images as float arrays with their shapes, whatever their number."""
-    images.write.mode(mode).parquet(path)
-
-
 def write_data_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object class -> [mean, std]; default is left out unless it is alone. One row per class goes into it."""
     kept = stats.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("class_name <> 'default' or _n = 1")
@@ -131,19 +127,29 @@ def write_split_index(split: DataFrame, path: str, mode: str = "overwrite") -> N
     split.select(F.format_string("%d, %d", "class_idx", "sample_idx").alias("value"), "split").write.mode(mode).partitionBy("split").text(path)
 
 
-def write_by_run(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Class tables, metric histories and parameters of runs: one table, a folder per run."""
-    rows.write.mode(mode).partitionBy("run_id").parquet(path)
+def write_by_run(rows: DataFrame, path: str) -> None:
+    """Class tables, metric histories and parameters of runs: one table, a folder per run.
+
+    The runs in rows replace what the table held of them, so a repeated write adds nothing; other runs stay as they are.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_class_table(classes: DataFrame, path: str) -> None:
     write_by_run(classes.select("run_id", "class_name", "factor", F.round("p_scale", 2).alias("p_scale")), path)
 
 
+def write_p_scale(classes: DataFrame, root: str, name: str = "classes.txt") -> None:
+    """A file root/run/name for each run, with lines "class: 0.80" in order of class, as read_p_scale reads them."""
+    lines = F.format_string("%s: %.2f", "class_name", F.round("p_scale", 2))
+    texts = classes.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_name", lines.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    write_files(texts.select(F.concat("run_id", F.lit(f"/{name}")).alias("path"), F.concat(F.lit("# class: p_scale\n"), "text", F.lit("\n")).alias("content")), root)
+
+
 def write_metric_history(history: DataFrame, path: str) -> None:
     numbers = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in history.dtypes]
-    write_by_run(history.select(*numbers), path, "overwrite")
+    write_by_run(history.select(*numbers), path)
 
 
 def write_run_params(params: DataFrame, path: str) -> None:
-    write_by_run(typed_params(params), path, "overwrite")
+    write_by_run(typed_params(params), path)

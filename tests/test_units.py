@@ -245,9 +245,6 @@ def test_text_inputs_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/k4").first().p_scale == 0.8
     io.write_metric_history(spark.createDataFrame([("r", 1, 0.123456)], "run_id string, epoch int, loss double"), f"file://{tmp_path}/k5")
     assert spark.read.parquet(f"file://{tmp_path}/k5").first().loss == 0.1235
-    tensors = spark.range(300).select("id", F.array(F.lit(0.5).cast("float")).alias("data"))
-    io.write_tensors(tensors, f"file://{tmp_path}/k1")
-    assert spark.read.parquet(f"file://{tmp_path}/k1").count() == 300
 
 
 def test_stats_fall_back(spark):
