@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,19 +173,50 @@ def resize_weights(source: int, target: int, kind: str) -> np.ndarray:
     return out / out.sum(1, keepdims=True)
 
 
+def arrays_of(batch: pa.RecordBatch, channels: int) -> list[np.ndarray | None]:
+    """The images (h, w, c) of a batch (height, width, data channel last), without copies where Arrow allows."""
+    data = batch.column("data")
+    values, ends = np.asarray(data.flatten(), float), np.cumsum(np.asarray(data.value_lengths().fill_null(0), np.int64))
+    sizes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), data.is_valid().to_pylist(), ends, strict=True)
+    return [values[end - h * w * channels : end].reshape(h, w, channels) if known else None for h, w, known, end in sizes]
+
+
+def with_images(batch: pa.RecordBatch, images: list[np.ndarray | None], names: list[str]) -> pa.RecordBatch:
+    """The named columns of batch, with height, width and data of these images; a null image keeps its height and width."""
+    ends = np.cumsum([0] + [0 if x is None else x.size for x in images])
+    flat = np.concatenate([x.ravel() for x in images if x is not None] or [np.zeros(0)])
+    none = pa.array([x is None for x in images], pa.bool_())
+    columns = {c: batch.column(c) for c in names}
+    kind = batch.schema.field("data").type
+    columns["data"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind.value_type), mask=none).cast(kind)
+    for i, c in enumerate(("height", "width")):
+        before = columns[c].to_pylist()
+        columns[c] = pa.array([b if x is None else x.shape[i] for b, x in zip(before, images, strict=True)], columns[c].type)
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+
 def resize(images: DataFrame, size: int, kind: str = "bilinear", channels: int = 3) -> DataFrame:
-    """images (..., height, width, data channel-last) at size x size; weights are made once per source size and task."""
+    """images (..., height, width, data channel-last) at size x size.
+
+    Weights are made once per source size and task; all images of one size in an Arrow batch are resized by two matrix products.
+    Rows with null data stay as they are.
+    """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
-        for rows in batches:
-            out = []
-            for h, w, data in zip(rows["height"], rows["width"], rows["data"], strict=True):
+        for batch in batches:
+            found = arrays_of(batch, channels)
+            groups: dict[tuple, list[int]] = {}
+            for i, x in enumerate(found):
+                if x is not None:
+                    groups.setdefault(x.shape, []).append(i)
+            for (h, w, c), rows in groups.items():
                 for n in (h, w):
                     if n not in made:
                         made[n] = resize_weights(n, size, kind)
-                image = np.asarray(data, float).reshape(h, w, channels)
-                out.append(np.einsum("yh,xw,hwc->yxc", made[h], made[w], image, optimize=True).ravel())
-            yield rows.assign(height=size, width=size, data=out)
+                tall = made[h] @ np.stack([found[i] for i in rows]).reshape(len(rows), h, w * c)
+                for i, x in zip(rows, made[w] @ tall.reshape(len(rows), size, w, c), strict=True):
+                    found[i] = x
+            yield with_images(batch, found, batch.schema.names)
 
-    return images.mapInPandas(work, images.schema)
+    return images.mapInArrow(work, images.schema)

@@ -641,6 +641,148 @@ def g5_gamma(spark, d):
     return done.select("sample_id", F.posexplode("data").alias("i", "v")).select("sample_id", "i", r("v", 4).alias("v"))
 
 
+def _weights_sql(kind: str, source: int, target: int) -> str:
+    """(t, s, w): the sparse table of separable weights, straight from the definition of the filter."""
+    scale = source / target
+    at = f"(t + 0.5::DOUBLE) * {scale!r}::DOUBLE - 0.5::DOUBLE"
+    if kind == "bilinear":
+        low = f"greatest({at}, 0.0::DOUBLE)"
+        return f"SELECT t, least(floor({low}) + k, {source - 1}) AS s, sum(CASE k WHEN 0 THEN 1 - ({low} - floor({low})) ELSE {low} - floor({low}) END) AS w FROM range({target}) a(t), range(2) b(k) GROUP BY ALL"
+    return f"SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM (SELECT t, s, greatest(0.0::DOUBLE, 1 - abs(s - ({at})) / {max(1.0, scale)!r}::DOUBLE) AS w FROM range({target}) a(t), range({source}) b(s))"
+
+
+def _resized_sql(kind: str, target: int) -> str:
+    return f"WITH weights AS ({_weights_sql(kind, 8, target)}) SELECT sample_id, CAST(y.t * {target} + x.t AS INTEGER) AS i, round(sum(y.w * x.w * p / 255), 6) AS v FROM v_pix JOIN weights y ON y.s = i // 8 JOIN weights x ON x.s = i % 8 GROUP BY ALL"
+
+
+def _nested(sql: str) -> str:
+    return f"SELECT * FROM ({sql})"
+
+
+@query("p4_resize_bilinear", _nested(_resized_sql("bilinear", 5)))
+def p4(spark, d):
+    return _long(P.resize(_unit(spark, d).select("sample_id", "height", "width", "data"), 5, channels=1))
+
+
+@query("p4_resize_triangular", _nested(_resized_sql("triangular", 3)))
+def p4_triangular(spark, d):
+    return _long(P.resize(_unit(spark, d).select("sample_id", "height", "width", "data"), 3, "triangular", channels=1))
+
+
+@query("p4_resize_larger", _nested(_resized_sql("bilinear", 13)))
+def p4_larger(spark, d):
+    return _long(P.resize(_unit(spark, d).select("sample_id", "height", "width", "data"), 13, channels=1))
+
+
+def _planned(spark, d, name: str) -> DataFrame:
+    """Every image with one transform planned."""
+    return _unit(spark, d).select("sample_id", "height", "width", "data", F.array(F.lit(name)).alias("plan"))
+
+
+def draw_sql(transform: str, k: str | int, sample: str = "sample_id") -> str:
+    return f"(CAST(CAST('0x' || substr(md5('{SEED}:' || {sample} || ':{transform}:' || {k}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296)"
+
+
+def _warp_sql(transform: str, scale: str, degrees: str, shift_x: str, shift_y: str, shear_x: str, shear_y: str) -> str:
+    """An affine map by its inverse, mirrored borders as an index expression, and four neighbours weighed."""
+    mirror = "CASE WHEN {0} % 14 > 7 THEN 14 - {0} % 14 ELSE {0} % 14 END".format
+    at = "{} * (x - 3.5::DOUBLE - mx) + {} * (y - 3.5::DOUBLE - my) + 3.5::DOUBLE"
+    return f"""
+WITH par AS (SELECT sample_id, list(p / 255 ORDER BY i) AS pix, {scale} AS sc, radians({degrees}) AS a, {shift_x} AS mx, {shift_y} AS my, tan(radians({shear_x})) AS tx, tan(radians({shear_y})) AS ty FROM v_pix GROUP BY sample_id),
+mat AS (SELECT *, sc * (cos(a) - sin(a) * ty) AS m11, sc * (cos(a) * tx - sin(a)) AS m12, sc * (sin(a) + cos(a) * ty) AS m21, sc * (sin(a) * tx + cos(a)) AS m22 FROM par),
+inv AS (SELECT *, m11 * m22 - m12 * m21 AS det FROM mat),
+pos AS (SELECT sample_id, pix, x, y, abs({at.format("m22 / det", "(-m12 / det)")}) AS fx, abs({at.format("(-m21 / det)", "m11 / det")}) AS fy FROM inv, range(8) c(x), range(8) r(y)),
+src AS (SELECT sample_id, pix, x, y, {mirror("fx")} AS sx, {mirror("fy")} AS sy FROM pos),
+cell AS (SELECT *, CAST(floor(sx) AS INTEGER) AS x0, CAST(floor(sy) AS INTEGER) AS y0 FROM src)
+SELECT sample_id, CAST(y * 8 + x AS INTEGER) AS i, round(
+  (pix[y0 * 8 + x0 + 1] * (1 - sx + x0) + pix[y0 * 8 + least(x0 + 1, 7) + 1] * (sx - x0)) * (1 - sy + y0)
+  + (pix[least(y0 + 1, 7) * 8 + x0 + 1] * (1 - sx + x0) + pix[least(y0 + 1, 7) * 8 + least(x0 + 1, 7) + 1] * (sx - x0)) * (sy - y0) + 1e-7::DOUBLE, 4) AS v FROM cell"""
+
+
+def _warped(spark, d, name: str) -> DataFrame:
+    done = G.apply_plan(_planned(spark, d, name), SEED, channels=1)
+    return done.select("sample_id", F.posexplode("data").alias("i", "v")).select("sample_id", "i", r(F.col("v") + OFF_TIES, 4).alias("v"))
+
+
+@query("g6_affine", _nested(_warp_sql("affine", f"0.9::DOUBLE + 0.2::DOUBLE * {draw_sql('affine', 0)}", f"30 * {draw_sql('affine', 1)} - 15", f"8 * (0.1::DOUBLE * {draw_sql('affine', 2)} - 0.05::DOUBLE)", f"8 * (0.1::DOUBLE * {draw_sql('affine', 3)} - 0.05::DOUBLE)", f"20 * {draw_sql('affine', 4)} - 10", f"20 * {draw_sql('affine', 5)} - 10")))
+def g6(spark, d):
+    return _warped(spark, d, "affine")
+
+
+@query("g6_rotate", _nested(_warp_sql("rotate", "1.0::DOUBLE", f"40 * {draw_sql('rotate', 0)} - 20", "0.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE")))
+def g6_rotate(spark, d):
+    return _warped(spark, d, "rotate")
+
+
+GRID = ", ".join(f"{draw_sql('grid_distortion', k)} AS u{k}" for k in range(10))
+
+
+def _grid_at(first: int, place: str) -> str:
+    """Where a place of an axis of 8 is taken from: five cells of drawn width between fixed ends."""
+    wide = [f"(1 + 0.6::DOUBLE * u{first + k} - 0.3::DOUBLE)" for k in range(5)]
+    whole, at = "(" + " + ".join(wide) + ")", f"({place} * (5.0::DOUBLE / 7))"
+    cell = f"least(floor({at}), 4)"
+    knots = [" + ".join(wide[:k]) if k else "0" for k in range(5)]
+    begins = f"CASE {cell} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(knots)) + " END"
+    width = f"CASE {cell} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(wide)) + " END"
+    return f"least(({begins} + ({width}) * ({at} - {cell})) * 7 / {whole}, 7.0::DOUBLE)"
+
+
+@query(
+    "g7_grid_distortion",
+    f"""SELECT * FROM (WITH par AS (SELECT sample_id, list(p / 255 ORDER BY i) AS pix, {GRID} FROM v_pix GROUP BY sample_id),
+cell AS (SELECT sample_id, pix, x, y, {_grid_at(5, "x")} AS sx, {_grid_at(0, "y")} AS sy FROM par, range(8) c(x), range(8) r(y)),
+low AS (SELECT *, CAST(floor(sx) AS INTEGER) AS x0, CAST(floor(sy) AS INTEGER) AS y0 FROM cell)
+SELECT sample_id, CAST(y * 8 + x AS INTEGER) AS i, round(
+  (pix[y0 * 8 + x0 + 1] * (1 - sx + x0) + pix[y0 * 8 + least(x0 + 1, 7) + 1] * (sx - x0)) * (1 - sy + y0)
+  + (pix[least(y0 + 1, 7) * 8 + x0 + 1] * (1 - sx + x0) + pix[least(y0 + 1, 7) * 8 + least(x0 + 1, 7) + 1] * (sx - x0)) * (sy - y0) + 1e-7::DOUBLE, 4) AS v FROM low)""",
+)
+def g7(spark, d):
+    return _warped(spark, d, "grid_distortion")
+
+
+def _large(spark, d, name: str) -> DataFrame:
+    """Every pixel four times as wide and high, so that holes of 16 to 32 leave something."""
+    rows = _planned(spark, d, name)
+    data = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("data", (F.floor(i / 128) * 8 + F.floor(i % 32 / 4)).cast("int")))
+    return rows.withColumn("data", data).withColumn("height", F.lit(32)).withColumn("width", F.lit(32))
+
+
+def _lines(images: DataFrame) -> DataFrame:
+    """(sample_id, y, total): each line's values weighed by their places, where single pixels are too many rows."""
+    pixels = images.select("sample_id", F.posexplode("data").alias("i", "v"))
+    return pixels.groupBy("sample_id", F.expr("i div 32").alias("y")).agg(F.sum(F.col("v") * (F.col("i") % 32 + 1)).alias("total")).select("sample_id", "y", r(F.col("total") + OFF_TIES, 4).alias("total"))
+
+
+LARGE = "SELECT sample_id, k // 32 AS y, k % 32 AS x, p / 255 AS v FROM v_pix JOIN range(1024) q(k) ON i = (k // 128) * 8 + (k % 32) // 4"
+
+
+@query(
+    "g8_dropout",
+    f"""SELECT * FROM (WITH hole AS (
+  SELECT sample_id, k, least(16 + floor({draw_sql("dropout", "CAST(1 + 4 * k AS VARCHAR)")} * 17), 32) AS tall, least(16 + floor({draw_sql("dropout", "CAST(2 + 4 * k AS VARCHAR)")} * 17), 32) AS wide,
+    {draw_sql("dropout", "CAST(3 + 4 * k AS VARCHAR)")} AS uy, {draw_sql("dropout", "CAST(4 + 4 * k AS VARCHAR)")} AS ux
+  FROM (SELECT DISTINCT sample_id FROM v_pix), range(4) r(k) WHERE k < 1 + floor({draw_sql("dropout", 0)} * 4)),
+placed AS (SELECT *, floor(uy * (33 - tall)) AS top, floor(ux * (33 - wide)) AS "left" FROM hole)
+SELECT sample_id, y, round(sum(v * (x + 1)) + 1e-7::DOUBLE, 4) AS total FROM (SELECT l.sample_id, l.y, l.x, CASE WHEN count(h.k) > 0 THEN 0 ELSE max(l.v) END AS v
+FROM ({LARGE}) l LEFT JOIN placed h ON h.sample_id = l.sample_id AND l.y >= h.top AND l.y < h.top + h.tall AND l.x >= h."left" AND l.x < h."left" + h.wide GROUP BY l.sample_id, l.y, l.x) GROUP BY sample_id, y)""",
+)
+def g8(spark, d):
+    return _lines(G.apply_plan(_large(spark, d, "dropout"), SEED, channels=1))
+
+
+@query(
+    "g8_shadow",
+    f"""SELECT * FROM (WITH corner AS (SELECT sample_id, k, 32 * {draw_sql("shadow", "CAST(k AS VARCHAR)")} AS cx, 16 + 16 * {draw_sql("shadow", "CAST(k + 5 AS VARCHAR)")} AS cy FROM (SELECT DISTINCT sample_id FROM v_pix), range(5) r(k)),
+turned AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY atan2(cy - my, cx - mx), k) AS n FROM (SELECT *, avg(cx) OVER (PARTITION BY sample_id) AS mx, avg(cy) OVER (PARTITION BY sample_id) AS my FROM corner)),
+edge AS (SELECT a.sample_id, a.cx AS x0, a.cy AS y0, b.cx AS x1, b.cy AS y1 FROM turned a JOIN turned b ON a.sample_id = b.sample_id AND b.n = a.n % 5 + 1)
+SELECT sample_id, y, round(sum(v * (x + 1)) + 1e-7::DOUBLE, 4) AS total FROM (SELECT l.sample_id, l.y, l.x, CASE WHEN count(e.x0) % 2 = 1 THEN 0.5::DOUBLE ELSE 1 END * max(l.v) AS v
+FROM ({LARGE}) l LEFT JOIN edge e ON e.sample_id = l.sample_id AND (e.y0 > l.y + 0.5::DOUBLE) <> (e.y1 > l.y + 0.5::DOUBLE) AND l.x + 0.5::DOUBLE < (e.x1 - e.x0) * (l.y + 0.5::DOUBLE - e.y0) / (e.y1 - e.y0) + e.x0 GROUP BY l.sample_id, l.y, l.x) GROUP BY sample_id, y)""",
+)
+def g8_shadow(spark, d):
+    return _lines(G.apply_plan(_large(spark, d, "shadow"), SEED, channels=1))
+
+
 @query("h1_drop_cls", "SELECT image_id, CAST(layer AS INTEGER) AS layer, token_idx, pos, round(x, 6) AS x FROM v_tok WHERE token_idx > 0")
 def h1(spark, d):
     t = H.drop_cls(V.v_tokens(spark, d))
