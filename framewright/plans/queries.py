@@ -167,20 +167,6 @@ def f2(spark, d):
     return M.drop_tiny_classes(V.v_samples(spark, d)).select("sample_id", "class_name")
 
 
-@query("j1_resolve_split", f"SELECT sample_id, class_name, class_idx, sample_idx FROM ({MANIFEST}) WHERE class_idx % 2 = 0 AND sample_idx % 3 = 0 AND sample_idx < 200")
-def j1(spark, d):
-    m = _manifest(spark, d)
-    keys = m.where("class_idx % 2 = 0").select("class_idx", F.explode(F.sequence(F.lit(0), F.lit(199), F.lit(3))).alias("sample_idx")).distinct()
-    return M.resolve_split(keys, m).select("sample_id", "class_name", "class_idx", "sample_idx")
-
-
-@query("j1_missing_files", f"SELECT class_idx, CAST(s AS INTEGER) AS sample_idx FROM (SELECT class_idx, count(*) AS n FROM ({MANIFEST}) GROUP BY ALL), range(0, 200, 3) q(s) WHERE s >= n")
-def j1_missing(spark, d):
-    m = _manifest(spark, d)
-    keys = m.select("class_idx").distinct().select("class_idx", F.explode(F.sequence(F.lit(0), F.lit(199), F.lit(3))).alias("sample_idx"))
-    return M.resolve_split(keys, m, "report").select("class_idx", "sample_idx")
-
-
 def _all_keys(manifest: DataFrame) -> DataFrame:
     """Every (class_idx, sample_idx) of the manifest, and each once more past its class's end, where there is no file."""
     sizes = manifest.groupBy("class_idx").agg(F.count("*").cast("int").alias("n"))
@@ -188,13 +174,13 @@ def _all_keys(manifest: DataFrame) -> DataFrame:
     return there.unionByName(there.join(F.broadcast(sizes), "class_idx").select("class_idx", (F.col("sample_idx") + F.col("n")).alias("sample_idx")))
 
 
-@query("j1_resolve_split_whole", f"SELECT sample_id, class_name, class_idx, sample_idx FROM ({MANIFEST})")
+@query("j1_resolve_split", f"SELECT sample_id, class_name, class_idx, sample_idx FROM ({MANIFEST})")
 def j1_whole(spark, d):
     m = _manifest(spark, d)
     return M.resolve_split(_all_keys(m), m).select("sample_id", "class_name", "class_idx", "sample_idx")
 
 
-@query("j1_missing_files_whole", f"SELECT class_idx, CAST(sample_idx + count(*) OVER (PARTITION BY class_idx) AS INTEGER) AS sample_idx FROM ({MANIFEST})")
+@query("j1_missing_files", f"SELECT class_idx, CAST(sample_idx + count(*) OVER (PARTITION BY class_idx) AS INTEGER) AS sample_idx FROM ({MANIFEST})")
 def j1_missing_whole(spark, d):
     m = _manifest(spark, d)
     return M.resolve_split(_all_keys(m), m, "report").select("class_idx", "sample_idx")
@@ -207,13 +193,15 @@ def j2(spark, d):
     return M.used_classes(m, val).select("sample_id", "class_name", "class_idx", "sample_idx")
 
 
-PIX_STATS = "SELECT class_name, avg(p / 255) AS m, stddev_samp(p / 255) AS s FROM v_pix WHERE class_name IN ('c0', 'c1', 'c2') GROUP BY ALL"
+PIX_STATS = "SELECT class_name, avg(p / 255) AS m, stddev_samp(p / 255) AS s FROM v_pix WHERE class_name <> (SELECT max(class_name) FROM v_pix) GROUP BY ALL"
 
 
 @query("j3_attach_stats", f"SELECT sample_id, class_name, round(coalesce(m, 0.5), 6) AS mean, round(coalesce(s, 0.5), 6) AS std FROM (SELECT DISTINCT sample_id, class_name FROM v_pix) LEFT JOIN ({PIX_STATS}) USING (class_name)")
 def j3(spark, d):
+    """Statistics of every class but the last by name, which falls back."""
     images = _unit(spark, d)
-    stats = P.stats_table(P.class_channel_stats(images.where("class_name in ('c0', 'c1', 'c2')"), channels=1))
+    last = images.agg(F.max("class_name").alias("last"))
+    stats = P.stats_table(P.class_channel_stats(images, channels=1)).crossJoin(last).where("class_name <> last").drop("last")
     return P.attach_stats(images, stats, channels=1).select("sample_id", "class_name", r(F.col("mean")[0]).alias("mean"), r(F.col("std")[0]).alias("std"))
 
 
@@ -241,9 +229,9 @@ def _label_weights(spark, d) -> DataFrame:
     return B.ldam_margins(B.balanced_weights(counts))
 
 
-@query("j7_attach_class_weight", f"SELECT sample_id, label, round(w, 6) AS weight FROM v_row JOIN ({WEIGHTS}) USING (label)")
+@query("j7_attach_class_weight", f"SELECT sample_id, label, round(w, 6) AS weight FROM w_row JOIN ({WEIGHTS}) USING (label)")
 def j7(spark, d):
-    return L.attach_class_weight(V.v_scores(spark, d), _label_weights(spark, d)).select("sample_id", "label", r("weight").alias("weight"))
+    return L.attach_class_weight(V.v_whole(spark, d), _label_weights(spark, d)).select("sample_id", "label", r("weight").alias("weight"))
 
 
 @query("a3_median_class_size", "SELECT median(n) AS median FROM s_cnt")
@@ -354,14 +342,14 @@ def p6(spark, d):
     return P.explode_pixels(_rgb(spark, d)).select("sample_id", F.col("pixel").cast("int").alias("pixel"), "channel", r("value").alias("value"))
 
 
-@query("f5_ignore_label", "SELECT sample_id, label, pred FROM v_row WHERE label <> 3")
+@query("f5_ignore_label", "SELECT sample_id, label, pred FROM w_row WHERE label <> 3")
 def f5(spark, d):
-    return L.ignore_label(V.v_scores(spark, d), 3).select("sample_id", "label", "pred")
+    return L.ignore_label(V.v_whole(spark, d), 3).select("sample_id", "label", "pred")
 
 
-@query("l3_argmax_class", "SELECT sample_id, pred FROM v_row")
+@query("l3_argmax_class", "SELECT sample_id, pred FROM w_row")
 def l3(spark, d):
-    return V.v_scores(spark, d).select("sample_id", "pred")
+    return V.v_whole(spark, d).select("sample_id", "pred")
 
 
 @query("h7_centroid_scores", "SELECT sample_id, label, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY k) - 1 AS INTEGER) AS k, round(logit, 6) AS logit FROM v_long")
@@ -369,14 +357,14 @@ def h7(spark, d):
     return V.v_scores(spark, d).select("sample_id", "label", F.posexplode("logits").alias("k", "logit")).select("sample_id", "label", "k", r("logit").alias("logit"))
 
 
-@query("m1_log_sum_exp", "SELECT sample_id, round(lse, 4) AS lse FROM v_row")
+@query("m1_log_sum_exp", "SELECT sample_id, round(lse, 4) AS lse FROM w_row")
 def m1(spark, d):
-    return V.v_scores(spark, d).select("sample_id", r(L.log_sum_exp(F.col("logits")), 4).alias("lse"))
+    return V.v_whole(spark, d).select("sample_id", r(L.log_sum_exp(F.col("logits")), 4).alias("lse"))
 
 
-@query("m2_softmax", "SELECT sample_id, k, round(exp(logit - lse), 4) AS p FROM v_long JOIN v_row USING (sample_id)")
+@query("m2_softmax", "SELECT sample_id, k, round(exp(logit - lse), 4) AS p FROM w_long JOIN w_row USING (sample_id)")
 def m2(spark, d):
-    return V.v_scores(spark, d).select("sample_id", F.posexplode(L.softmax(F.col("logits"))).alias("k", "p")).select("sample_id", "k", r("p", 4).alias("p"))
+    return V.v_whole(spark, d).select("sample_id", F.posexplode(L.softmax(F.col("logits"))).alias("k", "p")).select("sample_id", "k", r("p", 4).alias("p"))
 
 
 def _weighted(spark, d) -> DataFrame:
@@ -820,6 +808,31 @@ def h6(spark, d):
     return H.score(H.fit_classifier(v.where("sample_id % 5 <> 0")), v.where("sample_id % 5 = 0"))
 
 
+@query("h4_gradient", "SELECT DISTINCT label, CAST(i AS INTEGER) - 1 AS pos, true AS flat FROM (SELECT DISTINCT label FROM v_vec), range(65) r(i)")
+def h4_gradient(spark, d):
+    """The gradient at the fitted weights of every class and feature, all classes weighed alike: none is steeper than 1e-5."""
+    train = L.attach_class_weight(V.v_vectors(spark, d), _label_weights(spark, d))
+    slopes = H.gradient(H.fit_classifier(train, "weight", 500, 1e-12), train, "weight")
+    return slopes.select("label", "pos", (F.abs("gradient") < 1e-5).alias("flat"))
+
+
+@query("h5_not_linear", "SELECT count(*) AS n, true AS learned FROM embeddings WHERE vec_id % 5 = 0")
+def h5_not_linear(spark, d):
+    """Whether the first two values have the same sign: no line tells it, so the linear head guesses and the hidden layer learns it."""
+    v = V.v_vectors(spark, d).select("sample_id", ((F.col("vec")[0] > 0) == (F.col("vec")[1] > 0)).cast("int").alias("label"), F.slice("vec", 1, 2).alias("vec"))
+    train, test = v.where("sample_id % 5 <> 0"), v.where("sample_id % 5 = 0")
+    right = F.avg((F.col("pred") == F.col("label")).cast("double"))
+    line = H.score(H.fit_classifier(train), test).agg(right.alias("line"))
+    hidden = H.score(H.fit_mlp(train, [2, 16, 2], 200), test).agg(F.count("*").alias("n"), right.alias("hidden"))
+    return hidden.crossJoin(line).select("n", ((F.col("hidden") > 0.9) & (F.col("line") < 0.75)).alias("learned"))
+
+
+@query("h6_score_whole", "SELECT sample_id, label, pred, round(lse - own, 4) AS loss FROM w_row")
+def h6_whole(spark, d):
+    v = V.v_vectors(spark, d)
+    return H.score(H.CentroidHead(v.where("sample_id % 5 <> 0")), v).select("sample_id", "label", "pred", r("loss", 4).alias("loss"))
+
+
 @query("st1_streaming_channel_stats", "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM events GROUP BY ALL")
 def st1(spark, d):
     schema = table(spark, d, "events").schema
@@ -845,12 +858,14 @@ def st1_resumed(spark, d):
     return run().select("class_name", "channel", r("mean").alias("mean"), r("std").alias("std"), F.lit(same).alias("resumed"))
 
 
-@query("s6_parse_data_stats", "SELECT 'c' || (doc_id % 50) AS class_name, avg(0.25::DOUBLE) AS mean, avg(0.5::DOUBLE) AS std FROM documents GROUP BY ALL")
+@query("s6_parse_data_stats", f"SELECT class_name, CAST(c AS INTEGER) AS channel, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM ({RGB}) GROUP BY ALL UNION ALL SELECT 'v' || (vec_id // 100), 0, round(avg(x), 6), round(stddev_samp(x), 6) FROM (SELECT sample_id AS vec_id, x FROM v_vec) GROUP BY ALL")
 def s6(spark, d):
-    """The statistics of a file made of the documents' ids, read back."""
-    keys = table(spark, d, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("k")).distinct()
-    text = keys.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", F.array(F.array(*[F.lit(0.25)] * 3), F.array(*[F.lit(0.5)] * 3)).alias("v"))))).alias("value"))
-    return io.parse_data_stats(text).select("class_name", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std"))
+    """Measured statistics of each class, and of each hundred vectors, so that the file grows with the table; as JSON, parsed."""
+    classes = P.stats_table(P.class_channel_stats(_rgb(spark, d)))
+    hundreds = V.v_vectors(spark, d).select(F.concat(F.lit("v"), F.expr("sample_id div 100").cast("string")).alias("class_name"), F.explode("vec").alias("x")).groupBy("class_name").agg(F.array(*[F.avg("x")] * 3).alias("mean"), F.array(*[F.stddev_samp("x")] * 3).alias("std"))
+    text = classes.unionByName(hundreds).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("class_name", F.array("mean", "std").alias("v"))))).alias("value"))
+    back = io.parse_data_stats(text).select("class_name", F.posexplode(F.arrays_zip("mean", "std")).alias("channel", "s"))
+    return back.where("class_name like 'c%' or channel = 0").select("class_name", "channel", r("s.mean").alias("mean"), r("s.std").alias("std"))
 
 
 @query("s8_parse_run_params", "SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS section, 'k' AS key, CAST(count(*) AS VARCHAR) AS value FROM events GROUP BY ALL")

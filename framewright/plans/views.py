@@ -47,6 +47,12 @@ def v_scores(spark, d) -> DataFrame:
     return s.withColumn("pred", argmax_class(F.col("logits")))
 
 
+def v_whole(spark, d) -> DataFrame:
+    """As v_scores, for every vector."""
+    v = v_vectors(spark, d)
+    return centroid_scores(v.where("sample_id % 5 <> 0"), v).withColumn("pred", argmax_class(F.col("logits")))
+
+
 def v_binary(spark, d) -> DataFrame:
     return table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("label"), F.col("toxic").alias("pred"))
 
@@ -80,6 +86,8 @@ SQL = {
     "v_tok": "SELECT sample_id // 2 AS image_id, sample_id % 2 AS layer, i // 8 AS token_idx, i % 8 AS pos, x FROM v_vec",
     "v_long": "SELECT e.sample_id, e.label, c.label AS k, sum(e.x * c.m) AS logit FROM v_vec e JOIN (SELECT label, i, avg(x) AS m FROM v_vec WHERE sample_id % 5 <> 0 GROUP BY ALL) c USING (i) WHERE e.sample_id % 5 = 0 GROUP BY ALL",
     "v_row": "SELECT sample_id, label, max(logit) + ln(sum(exp(logit - mx))) AS lse, max(CASE WHEN k = label THEN logit END) AS own, min(CASE WHEN logit = mx THEN k END) AS pred FROM (SELECT *, max(logit) OVER (PARTITION BY sample_id) AS mx FROM v_long) GROUP BY ALL",
+    "w_long": "SELECT e.sample_id, e.label, c.label AS k, sum(e.x * c.m) AS logit FROM v_vec e JOIN (SELECT label, i, avg(x) AS m FROM v_vec WHERE sample_id % 5 <> 0 GROUP BY ALL) c USING (i) GROUP BY ALL",
+    "w_row": "SELECT sample_id, label, max(logit) + ln(sum(exp(logit - mx))) AS lse, max(CASE WHEN k = label THEN logit END) AS own, min(CASE WHEN logit = mx THEN k END) AS pred FROM (SELECT *, max(logit) OVER (PARTITION BY sample_id) AS mx FROM w_long) GROUP BY ALL",
     "v_cm": "SELECT a.label, b.label AS pred, count(r.sample_id) AS n FROM (SELECT DISTINCT label FROM v_vec) a CROSS JOIN (SELECT DISTINCT label FROM v_vec) b LEFT JOIN v_row r ON r.label = a.label AND r.pred = b.label GROUP BY ALL",
     "v_out": "SELECT c.label, sum(CASE WHEN m.label = c.label AND m.pred = c.label THEN n ELSE 0 END) AS tp, sum(CASE WHEN m.label <> c.label AND m.pred = c.label THEN n ELSE 0 END) AS fp, sum(CASE WHEN m.label = c.label AND m.pred <> c.label THEN n ELSE 0 END) AS fn FROM (SELECT DISTINCT label FROM v_vec) c, v_cm m GROUP BY ALL",
     "v_history": "SELECT user_id % 5 AS run_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'val' ELSE 'train' END AS phase, CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) + 1 AS INTEGER) AS epoch, event_id, k + 1 AS batch_size, value AS loss, k FROM (SELECT *, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) AS k FROM events)",
