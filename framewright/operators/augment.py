@@ -237,9 +237,14 @@ def apply_plan(planned: DataFrame, seed: int, channels: int = 3) -> DataFrame:
     return drawn.mapInArrow(work, planned.schema)
 
 
-def augment(samples: DataFrame, seed: int, size: int, channels: int = 3) -> DataFrame:
-    """Planned, transformed, resized, normalised and laid out as CHW; samples have p_scale, mean and std."""
+def finish(images: DataFrame, size: int, channels: int = 3) -> DataFrame:
+    """images (height, width, data, mean, std, ...) resized, normalised and laid out as CHW."""
     from .pixels import normalize, resize, to_chw
 
-    done = resize(apply_plan(augmentation_plan(samples, seed), seed, channels), size, "bilinear", channels)
+    done = resize(images, size, "bilinear", channels)
     return done.withColumn("data", to_chw(normalize(F.col("data"), F.col("mean"), F.col("std"), channels), F.lit(size), F.lit(size), channels))
+
+
+def augment(samples: DataFrame, seed: int, size: int, channels: int = 3) -> DataFrame:
+    """Planned, transformed, resized, normalised and laid out as CHW; samples have p_scale, mean and std."""
+    return finish(apply_plan(augmentation_plan(samples, seed), seed, channels), size, channels)

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import balance as B
 from ..operators import history as T
 from ..operators import manifest as M
 from ..operators import pixels as P
 from ..sources import io
 from ..sources.files import png_bytes, write_files
+from ..sources.runs import save_run, scoring_samples
 from ..sources.shared import shared_folder
 from ..sources.tensors import image_struct, read_tensors, write_tensors
 from . import views as V
@@ -221,3 +223,26 @@ def k6(spark, d):
     for _ in range(2):
         io.write_run_params(params, path)
     return spark.read.parquet(path).select("run_id", "section", "key", F.col("int_value").cast("long").alias("int_value"))
+
+
+@query(
+    "run_to_scoring",
+    f"""SELECT class_name, file, class_idx, sample_idx, round(p_scale, 2) AS p_scale, mean, std FROM (
+  SELECT class_name, file, CAST(dense_rank() OVER (ORDER BY class_name) - 1 AS INTEGER) AS class_idx, CAST(row_number() OVER (PARTITION BY class_name ORDER BY file) - 1 AS INTEGER) AS sample_idx FROM ({PICTURES}))
+  JOIN (SELECT class_name, round_even(least(2.0::DOUBLE, 0.5::DOUBLE + CAST(factor AS DOUBLE) / max(factor) OVER ()), 2) AS p_scale FROM (
+    SELECT class_name, least(greatest(ceil(median(n) OVER () / n * 2), 1), 10) AS factor FROM (SELECT class_name, count(*) AS n FROM ({PICTURES}) GROUP BY ALL))) USING (class_name)
+  JOIN (SELECT class_name, round(avg(v / 255), 6) AS mean, round(stddev_samp(v / 255), 6) AS std FROM ({COLOURS}) WHERE c = 0 GROUP BY ALL) USING (class_name)
+  WHERE sample_idx % 3 = 0""",
+)
+def run_to_scoring(spark, d):
+    """A run saves its lists over a folder of pictures; another reads them back. Its test list is each third file of a class."""
+    pictures, root = _pictures(spark, d), _folder(spark, "saved")
+    images = _folder(spark, "pictures")
+    write_files(pictures.select(F.concat_ws("/", "class_name", "file").alias("path"), png_bytes("height", "width", F.lit(3), "data").alias("content")), images)
+    manifest = M.sample_index(M.with_class_index(io.scan_images(spark, images)))
+    factors = B.p_scale(B.repeat_factor(M.class_counts(manifest)))
+    stats = P.stats_table(P.class_channel_stats(pictures.withColumn("data", P.scale_unit(F.col("data"), F.lit("uint8")))))
+    split = manifest.withColumn("split", F.when(F.col("sample_idx") % 3 == 0, "test").otherwise("train"))
+    save_run(split, factors, stats, root, "m__01-02-25-10-11-12")
+    found = scoring_samples(spark, images, root, "m__01-02-25-10-11-12", by="class")
+    return found.select("class_name", _file_name(), "class_idx", "sample_idx", "p_scale", r(F.col("mean")[0]).alias("mean"), r(F.col("std")[0]).alias("std"))

@@ -662,6 +662,14 @@ def p4_larger(spark, d):
     return _long(P.resize(_unit(spark, d).select("sample_id", "height", "width", "data"), 13, channels=1))
 
 
+@query("g9_finish", f"SELECT * FROM (WITH weights AS ({_weights_sql('bilinear', 8, 5)}) SELECT sample_id, CAST(c * 25 + y.t * 5 + x.t AS INTEGER) AS i, round((sum(y.w * x.w * v) - 0.25::DOUBLE * (c + 1)) / (0.2::DOUBLE + c * 0.1::DOUBLE) + 1e-7::DOUBLE, 4) AS v FROM ({RGB}) p JOIN weights y ON y.s = p.i // 8 JOIN weights x ON x.s = p.i % 8 GROUP BY sample_id, c, y.t, x.t)")
+def g9(spark, d):
+    """Resized, normalised by channel, channel first."""
+    images = _rgb(spark, d).select("sample_id", "height", "width", "data", F.array(*map(F.lit, (0.25, 0.5, 0.75))).alias("mean"), F.array(*map(F.lit, (0.2, 0.30000000000000004, 0.4))).alias("std"))
+    done = G.finish(images, 5)
+    return done.select("sample_id", F.posexplode("data").alias("i", "v")).select("sample_id", "i", r(F.col("v") + OFF_TIES, 4).alias("v"))
+
+
 def _planned(spark, d, name: str) -> DataFrame:
     """Every image with one transform planned."""
     return _unit(spark, d).select("sample_id", "height", "width", "data", F.array(F.lit(name)).alias("plan"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,9 +93,17 @@ def read_data_stats(spark: SparkSession, path: str, mode: str = "strict") -> Dat
     return parse_data_stats(texts, mode)
 
 
+def _in_runs(spark: SparkSession, runs_root: str, glob: str, wholetext: bool = False) -> DataFrame:
+    """Text files root/run/file, as (run_id, value); what lies deeper in a run's folder is left alone."""
+    depth = len([p for p in re.sub("^[a-z0-9]+:", "", runs_root).split("/") if p]) + 2
+    parts = F.filter(F.split(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:", ""), "/"), lambda p: p != "")
+    texts = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob).text(f"{runs_root}/*/", wholetext=wholetext)
+    return texts.where(F.size(parts) == depth).select(F.element_at(parts, -2).alias("run_id"), "value")
+
+
 def read_p_scale(spark: SparkSession, runs_root: str, name: str = "*") -> DataFrame:
     """(run_id, class_name, p_scale) of all runs: lines "name: 0.80", # comments and blank lines skipped."""
-    lines = spark.read.option("pathGlobFilter", name).text(f"{runs_root}/*/").select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run_id"), F.trim("value").alias("line"))
+    lines = _in_runs(spark, runs_root, name).select("run_id", F.trim("value").alias("line"))
     kept = lines.where(~F.col("line").startswith("#") & (F.col("line") != "") & F.col("line").contains(":"))
     return kept.select("run_id", F.trim(F.split("line", ":", 2)[0]).alias("class_name"), F.trim(F.split("line", ":", 2)[1]).try_cast("double").alias("p_scale")).where("p_scale is not null")
 
@@ -109,8 +119,7 @@ def parse_run_params(texts: DataFrame) -> DataFrame:
 
 
 def read_run_params(spark: SparkSession, runs_root: str, glob: str = "*.ini") -> DataFrame:
-    texts = spark.read.option("pathGlobFilter", glob).text(f"{runs_root}/*/", wholetext=True)
-    return parse_run_params(texts.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run_id"), "value"))
+    return parse_run_params(_in_runs(spark, runs_root, glob, wholetext=True))
 
 
 def typed_params(params: DataFrame) -> DataFrame:
