@@ -6,6 +6,8 @@ equals splitting code points. All hashes are 64-bit polynomials, the same in eve
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ _LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -70,7 +73,14 @@ def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         end = min(end, len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives as long as its executor, and takes tasks of many kinds."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
