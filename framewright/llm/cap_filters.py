@@ -8,9 +8,12 @@ PAIRS pairs so that pairs at exactly the least cosine share a filter with probab
 Unless `codes` is given, there is a direction for every VECTORS_A_DIRECTION distinct vectors (at least LEAST_CODES codes a
 block; no upper limit), so that a filter's list doesn't grow with the input.
 
-A filter's vectors are dealt into blocks of about BLOCK and every two blocks are compared as matrices; a pair counts only
-at the smallest filter both pass. What leaves a task is one row per vector (its links there, the smallest vector it reaches
-there), never pairs. Equal vectors are compared once and counted as often as they occur.
+Filters that begin with the same codes are compared in one task, SPAN of them: a vector that passes several travels there
+once, with the list of its filters. Within a task each filter's vectors are compared as matrices, first in single precision with a
+margin, then, where any pair comes near, in double; a pair counts only at the smallest filter both pass. Filters that more than BLOCK
+vectors pass are left out there: their vectors are dealt into blocks, and every two blocks are compared in a task of their
+own. What leaves a task is one row per vector (its links there, the smallest vector it reaches there), never pairs. Equal vectors
+are compared once and counted as often as they occur.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null vec_id, link
 with nothing; vectors of different lengths never link; rows that repeat a vec_id count as vectors of their own and share
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import cut
+from .tables import cut, sent_if_few
 from .textops import runs
 
 PARTS = 2
@@ -36,6 +39,10 @@ PAIRS = 4000
 VECTORS_A_DIRECTION = 12
 LEAST_CODES = 64
 BLOCK = 1024
+#: Filters in a row that one task compares; with VECTORS_A_DIRECTION it bounds the vectors of a task.
+SPAN = 64
+#: How far a cosine in single precision may lie below the double one.
+MARGIN = 1e-4
 SEED = 11
 
 
@@ -115,8 +122,8 @@ def _unit(raw: list[bytes], kind: np.dtype) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def passed_filters(vectors: DataFrame, codes: int, cosine: float, kind: np.dtype) -> DataFrame:
-    """(size, filter, rep, copies, raw, filters) for each filter that a vector (rep, copies, vec) passes."""
+def decoded(vectors: DataFrame, codes: int, cosine: float, kind: np.dtype) -> DataFrame:
+    """(size, rep, cls, copies, raw, filters) of each distinct vector (rep, cls, copies, vec); rep and cls name it, filters are packed."""
     sizes = [r[0] for r in vectors.select(F.size("vec").alias("n")).distinct().collect()]
     caps = vectors.sparkSession.sparkContext.broadcast({n: Caps(n, codes, cosine) for n in sizes})
 
@@ -124,50 +131,165 @@ def passed_filters(vectors: DataFrame, codes: int, cosine: float, kind: np.dtype
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                raw = [np.array(v, kind).tobytes() for v in part.column(2).to_pylist()]
+                raw = [np.array(v, kind).tobytes() for v in part.column("vec").to_pylist()]
                 lengths = np.array([len(r) // kind.itemsize for r in raw])
                 for n in np.unique(lengths):
                     of = np.flatnonzero(lengths == n)
                     rows, names = caps.value[n].passed(_unit([raw[i] for i in of], kind))
                     lists = [names[a:b].astype(_width(codes)).tobytes() for a, b in zip(*runs(rows), strict=True)]
-                    pick = pa.array(of[rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([int(n)] * len(rows), pa.int64()), pa.array(names, pa.int64()), part.column(0).take(pick), part.column(1).take(pick), pa.array([raw[i] for i in of[rows]], pa.binary()), pa.array([lists[i] for i in rows], pa.binary())], ["size", "filter", "rep", "copies", "raw", "filters"])
-
-    return vectors.select("rep", "copies", "vec").mapInArrow(decode, "size long, filter long, rep long, copies long, raw binary, filters binary")
-
-
-def _compare(rows: pa.Table, cosine: float, kind: np.dtype, width: str) -> pa.Table:
-    """Links within one block of a filter, or between two of its blocks: (rep, n, root)."""
-    name = rows.column("filter")[0].as_py()
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    own = np.asarray(rows.column("own"))
-    ids, copies = np.asarray(rows.column("rep")), np.asarray(rows.column("copies"))
-    unit = _unit(rows.column("raw").to_pylist(), kind)
-    lists = [np.frombuffer(x, width) for x in rows.column("filters").to_pylist()]
-    owner, known = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
-    before = known < name
-    names, at = np.unique(known[before], return_inverse=True)
-    has = np.zeros((len(lists), max(1, len(names))), np.float32)
-    has[owner[before], at] = 1
-    a = np.flatnonzero(own == i)
-    b = a if i == j else np.flatnonzero(own == j)
-    linked = unit[a] @ unit[b].T >= cosine
-    if i == j:
-        np.fill_diagonal(linked, False)
-    root = ids.astype(np.int64).copy()
-    while linked.any():
-        old = root.copy()
-        root[a] = np.minimum(root[a], np.where(linked, root[b][None], np.iinfo(np.int64).max).min(1))
-        root[b] = np.minimum(root[b], np.where(linked, root[a][:, None], np.iinfo(np.int64).max).min(0))
-        if (old == root).all():
-            break
-    counted = linked & (has[a] @ has[b].T == 0)
-    n = np.zeros(len(ids), np.int64)
-    n[a] += counted @ copies[b]
-    if i != j:
-        n[b] += counted.T @ copies[a]
-    keep = np.flatnonzero((n > 0) | (root != ids))
-    return pa.table({"rep": pa.array(ids[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()), "root": pa.array(root[keep], pa.int64())})
+                    pick = pa.array(of, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([int(n)] * len(of), pa.int64()), *(part.column(c).take(pick) for c in ("rep", "cls", "copies")), pa.array([raw[i] for i in of], pa.binary()), pa.array(lists, pa.binary())], ["size", "rep", "cls", "copies", "raw", "filters"])
+
+    return vectors.select("rep", "cls", "copies", "vec").mapInArrow(decode, "size long, rep long, cls long, copies long, raw binary, filters binary")
+
+
+def _flat(lists: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of packed lists."""
+    known = [np.frombuffer(x, width) for x in lists.to_pylist()]
+    return np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate(known or [np.zeros(0, width)]).astype(np.int64)
+
+
+def filter_counts(vectors: DataFrame, width: str) -> DataFrame:
+    """(size, filter, n): vectors that pass each filter, counted in each batch first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(0))
+            owner, names = _flat(batch.column(1), width)
+            for n in np.unique(sizes):
+                found, times = np.unique(names[sizes[owner] == n], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([int(n)] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["size", "filter", "n"])
+
+    return vectors.select("size", "filters").mapInArrow(count, "size long, filter long, n long").groupBy("size", "filter").agg(F.sum("n").alias("n"))
+
+
+def in_groups(vectors: DataFrame, width: str) -> DataFrame:
+    """(size, part, rep, cls, copies, raw, filters, active): each vector once for each SPAN of filters of which it passes some."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                owner, names = _flat(rows.column("filters"), width)
+                starts, ends = runs(owner * (1 << 40) + names // SPAN)
+                pick = pa.array(owner[starts], pa.int64())
+                active = pa.ListArray.from_arrays(pa.array(np.append(starts, len(names)), pa.int32()), pa.array(names, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column("size").take(pick), pa.array(names[starts] // SPAN, pa.int64()), *(rows.column(c).take(pick) for c in ("rep", "cls", "copies", "raw", "filters")), active], ["size", "part", "rep", "cls", "copies", "raw", "filters", "active"])
+
+    return vectors.mapInArrow(deal, "size long, part long, rep long, cls long, copies long, raw binary, filters binary, active array<long>")
+
+
+def memberships(vectors: DataFrame, width: str) -> DataFrame:
+    """(size, filter, rep, cls): the filters of each vector."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, names = _flat(batch.column("filters"), width)
+            pick = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("size").take(pick), pa.array(names, pa.int64()), batch.column("rep").take(pick), batch.column("cls").take(pick)], ["size", "filter", "rep", "cls"])
+
+    return vectors.select("size", "rep", "cls", "filters").mapInArrow(name, "size long, filter long, rep long, cls long")
+
+
+class _Vectors:
+    """The vectors of one task, and the links found among them."""
+
+    def __init__(self, rows: pa.Table, cosine: float, kind: np.dtype, width: str):
+        self.ids, self.cls, self.copies = np.asarray(rows.column("rep")).astype(np.int64), rows.column("cls"), np.asarray(rows.column("copies"))
+        self.unit, self.cosine = _unit(rows.column("raw").to_pylist(), kind), cosine
+        self.single = self.unit.astype(np.float32)
+        self.owner, self.known = _flat(rows.column("filters").combine_chunks(), width)
+        self.edges = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
+        self.n, self.root = np.zeros(len(self.ids), np.int64), self.ids.copy()
+
+    def _earlier(self, rows: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place among rows, filter) of the filters below name."""
+        lists = [self.known[self.edges[i] : self.edges[i + 1]] for i in rows]
+        at, names = np.repeat(np.arange(len(rows)), [len(x) for x in lists]), np.concatenate(lists)
+        return at[names < name], names[names < name]
+
+    def meet(self, name: int, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between rows a and b that pass the filter; b is a itself, or holds other rows."""
+        same = a is b
+        near = self.single[a] @ self.single[b].T >= self.cosine - MARGIN
+        if same:
+            np.fill_diagonal(near, False)
+        rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(rows):
+            return
+        near = near[np.ix_(rows, columns)]
+        x, y = a[rows], b[columns]
+        linked = near & (self.unit[x] @ self.unit[y].T >= self.cosine)
+        while linked.any():
+            old = self.root[x].copy(), self.root[y].copy()
+            none = np.iinfo(np.int64).max
+            self.root[x] = np.minimum(self.root[x], np.where(linked, self.root[y][None], none).min(1))
+            self.root[y] = np.minimum(self.root[y], np.where(linked, self.root[x][:, None], none).min(0))
+            if (old[0] == self.root[x]).all() and (old[1] == self.root[y]).all():
+                break
+        (at, names), (to, others) = self._earlier(x, name), self._earlier(y, name)
+        both, inverse = np.unique(np.concatenate([names, others]), return_inverse=True)
+        has, had = np.zeros((len(x), max(1, len(both))), np.float32), np.zeros((len(y), max(1, len(both))), np.float32)
+        has[at, inverse[: len(names)]] = 1
+        had[to, inverse[len(names) :]] = 1
+        counted = linked & (has @ had.T == 0)
+        np.add.at(self.n, x, counted @ self.copies[y])
+        if not same:
+            np.add.at(self.n, y, counted.T @ self.copies[x])
+
+    def links(self) -> pa.Table:
+        keep = np.flatnonzero((self.n > 0) | (self.root != self.ids))
+        return pa.table({"rep": pa.array(self.ids[keep], pa.int64()), "cls": self.cls.take(pa.array(keep, pa.int64())), "n": pa.array(self.n[keep], pa.int64()), "root": pa.array(self.root[keep], pa.int64())})
+
+
+LINKS = "rep long, cls long, n long, root long"
+
+
+def compared_groups(groups: DataFrame, cosine: float, kind: np.dtype, width: str) -> DataFrame:
+    """(rep, cls, n, root) of links at the filters in active."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found, active = _Vectors(rows, cosine, kind, width), rows.column("active").combine_chunks()
+        owner = np.repeat(np.arange(len(active)), np.asarray(active.value_lengths()))
+        names = np.asarray(active.flatten())
+        order = np.lexsort((owner, names))
+        for start, end in zip(*runs(names[order]), strict=True):
+            if end - start > 1:
+                own = owner[order[start:end]]
+                found.meet(int(names[order[start]]), own, own)
+        return found.links()
+
+    return groups.groupBy("size", "part").applyInArrow(compare, LINKS)
+
+
+def compared_blocks(rows: DataFrame, cosine: float, kind: np.dtype, width: str) -> DataFrame:
+    """(rep, cls, n, root) of links at the filters of rows (size, filter, blocks, rep, cls, copies, raw, filters), two blocks a task."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep", "cls"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found, own = _Vectors(rows, cosine, kind, width), np.asarray(rows.column("own"))
+        i, j, name = (rows.column(c)[0].as_py() for c in ("i", "j", "filter"))
+        a = np.flatnonzero(own == i)
+        found.meet(name, a, a if i == j else np.flatnonzero(own == j))
+        return found.links()
+
+    return pairs.groupBy("size", "filter", "i", "j").applyInArrow(compare, LINKS)
+
+
+def filter_links(vectors: DataFrame, codes: int, cosine: float, kind: np.dtype) -> DataFrame:
+    """(rep, cls, n, root): what each task has found of a vector's links."""
+    width = _width(codes)
+    known = cut(decoded(vectors, codes, cosine, kind), "decoded")
+    hot = cut(filter_counts(known, width).where(F.col("n") > BLOCK).select("size", "filter", F.ceil(F.col("n") / BLOCK).alias("blocks")), "hot")
+    if hot.isEmpty():
+        return cut(compared_groups(in_groups(known, width), cosine, kind, width), "links")
+    passed = cut(memberships(known, width).join(sent_if_few(hot), ["size", "filter"], "left"), "passed")
+    whole = known.select("rep", "cls", "copies", "raw", "filters")
+    rest = passed.where("blocks is null").groupBy("size", F.expr(f"filter div {SPAN}").alias("part"), "rep", "cls").agg(F.array_sort(F.collect_list("filter")).alias("active"))
+    groups = rest.join(whole, ["rep", "cls"]).select("size", "part", "rep", "cls", "copies", "raw", "filters", "active")
+    often = passed.where("blocks is not null").join(whole, ["rep", "cls"])
+    return cut(compared_groups(groups, cosine, kind, width).union(compared_blocks(often, cosine, kind, width)), "links")
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, codes: int | None = None) -> DataFrame:
@@ -175,16 +297,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     kind = np.dtype("<f4") if "float" in dict(vectors.dtypes)[embedding] else np.dtype("<f8")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec")).withColumn("good", F.coalesce(usable("vec") & F.col("vec_id").isNotNull(), F.lit(False)))
     good = rows.where("good").select("vec_id", "vec")
-    classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"), "vectors")
+    classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", F.xxhash64("vec").alias("cls"), "copies", "vec"), "vectors")
     codes = codes or max(LEAST_CODES, int(np.ceil((classes.count() / VECTORS_A_DIRECTION) ** (1 / PARTS))))
-    met = cut(passed_filters(classes, codes, cosine, kind), "filters")
-    blocks = cut(met.groupBy("size", "filter").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    dealt = met.join(blocks, ["size", "filter"]).withColumn("own", F.pmod(F.xxhash64("rep", "raw"), F.col("blocks")))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    found = cut(pairs.groupBy("size", "filter", "i", "j").applyInArrow(lambda t: _compare(t, cosine, kind, _width(codes)), "rep long, n long, root long"), "links")
+    found = filter_links(classes, codes, cosine, kind)
     label = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    settled = classes.join(counts, "rep", "left").join(label, F.col("rep") == F.col("node"), "left")
+    counts = found.groupBy("rep", "cls").agg(F.sum("n").alias("n"))
+    settled = classes.join(counts, ["rep", "cls"], "left").join(label, F.col("rep") == F.col("node"), "left")
     settled = cut(settled.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "settled")
     linked = good.join(settled, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -18,8 +18,9 @@ def brute(rows, cosine):
         root = new
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(C, "BLOCK", 40)
+@pytest.mark.parametrize("block", [15, 40, 1024])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     rng = np.random.default_rng(1)
     near = [(200_000 + 15 * r.vec_id + i, (np.array(r.embedding) + rng.normal(size=64) * 0.003 * i).tolist(), 0) for r in vectors.where("vec_id < 20").collect() for i in range(15)]
@@ -68,3 +69,25 @@ def test_odd_rows(spark):
     want = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9, 10)] + [(7, 2, 7, True), (8, 2, 7, False), (8, 2, 7, False), (None, 0, None, True)]
     assert got == sorted(want, key=str)
     assert C.op10_cap_filters(vectors.limit(0)).count() == 0
+
+
+def test_links_are_those_of_pairs_that_share_a_filter(spark, monkeypatch):
+    """Counts equal, pair for pair, what the filters let meet, whether filters are hot or not; ids repeat and vectors too."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 16))
+    x = np.concatenate([b + rng.normal(size=(30, 16)) * 0.25 for b in base]).astype(np.float32)
+    x = np.concatenate([x, x[:7]])
+    ids = np.concatenate([np.arange(365), [0, 365]])
+    caps = C.Caps(16, 20, 0.9)
+    raw = [v.tobytes() for v in x]
+    rows, names = caps.passed(C._unit(raw, np.dtype("<f4")))
+    lists = [set(p.tolist()) for p in np.split(names, np.flatnonzero(np.diff(rows)) + 1)]
+    unit = C._unit(raw, np.dtype("<f4"))
+    cosine = unit @ unit.T >= 0.9
+    want = [sum(bool(i != j and (cosine[i, j] and lists[i] & lists[j] or raw[i] == raw[j])) for j in range(len(x))) for i in range(len(x))]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    for block in (10, 50, 1024):
+        monkeypatch.setattr(C, "BLOCK", block)
+        got = sorted((r.vec_id, r.n_links) for r in C.near_vectors(df, codes=20).collect())
+        assert got == sorted(zip(ids.tolist(), want, strict=True)), block
+    assert sum(want) > 3000
