@@ -4,7 +4,8 @@ Each source's target is its share of `share` times all words, by weight, held at
 words; what is cut off goes to the others by weight. Blocks of equally many words are given to sources by the highest
 quotients target / (2 * blocks so far + 1). As this order of blocks never takes one back, shard k's integer quota is what
 the first k shards get less what the first k - 1 get. A source's documents are laid end to end in seeded order and cut into
-blocks; its quota is taken from a seeded block on, round and round, so a document is taken at most `most` times.
+blocks; shard 1 takes its quota of blocks from a seeded one on, each further shard goes on where the one before it ended, round
+and round, so a document is taken at most `most` times and `dealt` says which of its words go to which shard.
 
 Defined results: a null or empty text has 0 words and is never taken; a null source is a source of its own, last; a source
 without words has target 0; rows that repeat a doc_id, or have none, are laid out each on its own, and the mix follows each
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -73,9 +74,10 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK_WO
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, whole, pieces, taken) of every row, and docs' column `row` where it is given.
+    """(doc_id, source, size, source_size, target, whole, pieces, taken, dealt) of every row, and docs' column `row` where it is given.
 
-    whole: times the document is taken from end to end; pieces: array of (first word, words) taken besides, from 0.
+    whole: times the document is taken from end to end; pieces: array of (first word, words) taken besides, from 0; dealt: the
+    same words as (shard, copy, first, words), by shard.
     Place and bin follow the text too, so rows of one id, or of none, spread over the bins.
     """
     carried = [F.col(row)] if row else []
@@ -87,23 +89,31 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     per_bin = cut(per_bin.select("source", "bin", begins.alias("begins")), "bins")
     quotas = shard_quotas(source_targets(sized.select("source", "size"), weights, share, most), shards, block)
     first_block = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0")), F.lit(seed)), F.greatest(F.lit(1), F.floor(F.col("source_size") / F.col("block"))))
-    quotas = cut(quotas.groupBy("source", "source_size", "target", "block").agg(F.max_by("blocks", "shard").alias("blocks")).withColumn("take", F.least(F.col("blocks") * F.col("block"), most * F.col("source_size"))).withColumn("origin", F.coalesce(first_block * F.col("block"), F.lit(0))), "quotas")
+    quotas = cut(quotas.groupBy("source", "source_size", "target", "block").agg(F.max("blocks").alias("blocks"), F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("each")).withColumn("take", F.least(F.col("blocks") * F.col("block"), most * F.col("source_size"))).withColumn("origin", F.coalesce(first_block * F.col("block"), F.lit(0))).withColumn("ends", F.transform("each", lambda e: F.least(e["blocks"] * F.col("block"), F.col("take")))).drop("each"), "quotas")
     own = Window.partitionBy("source", "bin").orderBy("place", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     laid = sized.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
     x, q, b = laid.alias("x"), quotas.alias("q"), per_bin.alias("b")
     joined = x.join(b, F.col("x.source").eqNullSafe(F.col("b.source")) & (F.col("x.bin") == F.col("b.bin"))).join(q, F.col("x.source").eqNullSafe(F.col("q.source")))
     at, size, total = F.col("begins") + F.col("inside"), F.col("size"), F.col("source_size")
     rest = F.when(total > 0, F.col("take") - F.floor(F.col("take") / total) * total).otherwise(F.lit(0)).cast("long")
-    one = joined.select(*([f"x.{row}"] if row else []), "x.doc_id", "x.source", "x.size", "source_size", "target", F.when(size > 0, F.floor(F.col("take") / total)).otherwise(F.lit(0)).cast("long").alias("whole"), at.alias("at"), F.col("origin").alias("lo"), (F.col("origin") + rest).alias("hi"))
+    one = joined.select(*([f"x.{row}"] if row else []), "x.doc_id", "x.source", "x.size", "source_size", "target", F.when(size > 0, F.floor(F.col("take") / total)).otherwise(F.lit(0)).cast("long").alias("whole"), at.alias("at"), F.col("origin").alias("lo"), (F.col("origin") + rest).alias("hi"), "ends")
 
     def overlap(lo, hi):
         start = F.greatest(F.lit(0), lo - F.col("at"))
         return F.struct(start.cast("long").alias("first"), (F.least(F.col("size"), hi - F.col("at")) - start).cast("long").alias("words"))
 
     pieces = F.filter(F.array(overlap(F.lit(0), F.col("hi") - F.col("source_size")), overlap(F.col("lo"), F.least(F.col("hi"), F.col("source_size")))), lambda p: p["words"] > 0)
-    done = one.withColumn("pieces", pieces)
+    def share(k: Column, copy: int) -> Column:
+        """What shard k, from 1, takes of the document as it comes in round `copy` over its source."""
+        here = F.col("at") + copy * F.col("source_size")
+        start = F.greatest(here, F.col("lo") + F.when(k > 1, F.get("ends", k - 2)).otherwise(F.lit(0)))
+        end = F.least(here + F.col("size"), F.col("lo") + F.get("ends", k - 1))
+        return F.struct(k.alias("shard"), F.lit(copy).alias("copy"), (start - here).cast("long").alias("first"), (end - start).cast("long").alias("words"))
+
+    rounds = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ends")), lambda k: F.array(*[share(k, j) for j in range(most + 1)])))
+    done = one.withColumn("pieces", pieces).withColumn("dealt", F.when(F.col("size") > 0, F.filter(rounds, lambda p: p["words"] > 0)).otherwise(F.filter(rounds, lambda p: F.lit(False))))
     taken = F.col("whole") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    return done.select("doc_id", "source", "size", "source_size", "target", "whole", "pieces", taken.alias("taken"), *carried)
+    return done.select("doc_id", "source", "size", "source_size", "target", "whole", "pieces", taken.alias("taken"), "dealt", *carried)
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
@@ -128,4 +138,6 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """As the contract has it; shards lists shard:words of each shard that takes words of the document."""
+    per_shard = F.transform(F.array_distinct(F.transform("dealt", lambda p: p["shard"])), lambda k: F.concat_ws(":", k.cast("string"), F.aggregate(F.filter("dealt", lambda p: p["shard"] == k), F.lit(0).cast("long"), lambda a, p: a + p["words"]).cast("string")))
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join(per_shard, ",").alias("shards"))

@@ -72,3 +72,26 @@ def test_odd_rows(odd):
     assert M.mixed_texts(odd).columns == odd.columns
     assert M.mixed_texts(odd).where("doc_id is null").count() >= 1
     assert M.op3_source_mixing(odd.limit(0)).count() == 0
+
+
+def test_shards_get_their_quotas(documents):
+    """Every shard's words of a source are its quota of blocks, and a document's shares are the words taken of it."""
+    rows = M.mixed(documents).collect()
+    sized = documents.select("source", M.n_words("text").alias("size"))
+    quotas, block = {}, None
+    for r in M.shard_quotas(M.source_targets(sized)).collect():
+        quotas[r.source, r.shard], block = r.blocks, r.block
+    got, total = {}, {}
+    for r in rows:
+        total[r.source] = r.source_size
+        assert sum(p.words for p in r.dealt) == r.taken and all(0 <= p.first and p.first + p.words <= r.size and 1 <= p.shard <= M.SHARDS for p in r.dealt)
+        for p in r.dealt:
+            got[r.source, p.shard] = got.get((r.source, p.shard), 0) + p.words
+        spans = [(p.copy, p.first, p.first + p.words) for p in r.dealt]
+        assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
+    for (source, k), blocks in quotas.items():
+        ends = [min(quotas.get((source, i), 0) * block, M.MOST * total[source]) for i in (k - 1, k)]
+        assert got.get((source, k), 0) == ends[1] - ends[0], (source, k)
+    assert len({k for _, k in got}) == M.SHARDS
+    parts = {r.doc_id: r.shards for r in M.op3_source_mixing(documents).collect()}
+    assert all(sum(int(x.split(":")[1]) for x in parts[r.doc_id].split(",") if x) == r.taken for r in rows)
