@@ -544,6 +544,20 @@ def op4_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     return similar_documents(docs, k=3, percent=90)
 
 
+#: DuckDB SQL for the rows of op4_ngram_jaccard_join: all pairs that share a shingle, and all that they reach.
+OP4_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM texts)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_ways AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingle a JOIN shingle b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM both_ways JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE 100 * common >= 90 * (a.n + b.n - common)),
+reach AS (SELECT doc_id, doc_id AS other FROM texts UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sized USING (doc_id) GROUP BY doc_id
+"""
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near-duplicates (the smallest doc_id); rows with a null doc_id stay.
 

@@ -9,13 +9,13 @@ from .conversation_repair import op12_conversation_repair
 from .decontaminate import op6_benchmark_decontamination
 from .language_id import op7_language_id
 from .mixing import op3_source_mixing
-from .ngram_join import op4_ngram_jaccard_join
+from .ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from .pii import op1_pii
 from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .tables import table
 from .token_store import op2_token_store
 from .url_filter import OP9_SQL, op9_url_filter
-from .window_dedup import op8_window_dedup
+from .window_dedup import OP8_SQL, op8_window_dedup
 
 
 def queries() -> dict:
@@ -40,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op8_window_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}

@@ -88,3 +88,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op8_window_dedup(docs: DataFrame) -> DataFrame:
     return without_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: DuckDB SQL for the rows of op8_window_dedup.
+OP8_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM texts),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k FROM place WHERE i + 12 <= len(ws)),
+least_doc AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM win JOIN least_doc USING (k), range(13) r(j) WHERE m < doc_id),
+judged AS (SELECT p.doc_id, p.i, p.ws[p.i] AS word, g.i IS NOT NULL AS lost FROM place p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+kept AS (SELECT doc_id, count(*) FILTER (lost) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT lost) AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+"""
