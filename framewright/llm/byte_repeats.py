@@ -243,3 +243,23 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op5_byte_repeats(docs: DataFrame) -> DataFrame:
     return without_repeats(docs, digest=True).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: DuckDB SQL for the rows of op5_byte_repeats: every string of 200 bytes by its MD5, counted.
+OP5_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+pos AS (SELECT doc_id, b, unnest(range(1, greatest(octet_length(b) - 198, 1))) AS i FROM t),
+s AS (SELECT doc_id, i, md5(array_slice(b, i, i + 199)) AS k FROM pos),
+twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s SEMI JOIN twice USING (k)),
+run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY doc_id, r),
+edge AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM span),
+part AS (
+  SELECT doc_id, a AS p, array_slice(b, before, a - 1) AS kept, z - a AS gone FROM edge JOIN t USING (doc_id)
+  UNION ALL SELECT doc_id, z, array_slice(b, z, octet_length(b)), 0 FROM edge JOIN t USING (doc_id) WHERE next IS NULL
+)
+SELECT t.doc_id, octet_length(t.b) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (gone > 0) AS n_spans,
+  sha256(unhex(coalesce(string_agg(hex(kept), '' ORDER BY p), hex(any_value(t.b))))) AS kept_sha256
+FROM t LEFT JOIN part USING (doc_id) GROUP BY t.doc_id, octet_length(t.b)
+"""

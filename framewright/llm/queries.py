@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .byte_repeats import op5_byte_repeats
+from .byte_repeats import OP5_SQL, op5_byte_repeats
 from .cap_filters import op10_cap_filters
 from .chat_format import OP13_SQL, op13_chat_format
 from .conversation_repair import op12_conversation_repair
@@ -40,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op8_window_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op5_byte_repeats": OP5_SQL, "op8_window_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}
