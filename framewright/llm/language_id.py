@@ -92,8 +92,8 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
                 found.append(_counted(at[start : start + len(part)][rows], codes))
             if found:
                 r, c, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in r], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+        give_back()
 
     small_batches(training.sparkSession)
     counted = training.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").mapInArrow(counts, "lang string, gram long, n long")
@@ -149,7 +149,6 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
 
         values = [t if isinstance(t, str) else None for t in texts]
         done = [judge(part) for _, part in _chunks(values)]
-        give_back()
         return pd.DataFrame({"lang_pred": [x for d in done for x in d[0]], "score": np.concatenate([d[1] for d in done]) if done else np.zeros(0)})
 
     own = [F.col(c) for c in docs.columns if c not in into]

@@ -73,11 +73,11 @@ def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         end = min(end, len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-    give_back()
+    pa.default_memory_pool().release_unused()
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a Python worker lives as long as its executor, and takes tasks of many kinds."""
+    """Return freed memory to the system, at the end of a task: a Python worker lives as long as its executor, and takes tasks of many kinds."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut, shared_dir
-from .textops import mix, pieces
+from .textops import give_back, mix, pieces
 
 MAGIC = b"IDSHARD1"
 HEADER = "<8sIIQ"  # magic, bytes of an id, 0, ids
@@ -293,6 +293,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             occurrence[i] = occurrence[i - 1] + 1 if keys[i] == keys[i - 1] else 0
         n = np.array(sizes, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array([name] * len(n)), pa.array(keys, pa.int64()), pa.array(occurrence), pa.array(np.cumsum(n) - n), pa.array(n)], ["shard_no", "shard", "key", "occurrence", "first", "n_tokens"])
+        give_back()
 
     manifest = cut(dealt.mapInArrow(write, "shard_no long, shard string, key long, occurrence long, first long, n_tokens long"), "manifest")
     return _counted_on(manifest)
