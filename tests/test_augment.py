@@ -106,3 +106,31 @@ def test_floats_stay_floats(spark):
     df = spark.range(3).select(F.col("id").alias("sample_id"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.array(*[F.lit(v).cast("float") for v in (0.0, 0.25, 0.5, 1.0)]).alias("data"), F.array(F.lit("hflip")).alias("plan"))
     out = G.apply_plan(df, 1, channels=1)
     assert dict(out.dtypes)["data"] == "array<float>" and out.first().data == [0.25, 0.0, 1.0, 0.5]
+
+
+def test_large_images_are_made_in_many_tasks(spark, tmp_path):
+    """A table in one partition: its images are enlarged in three tasks a core, and a line's sum is right; a vector that is null has black pixels."""
+    from framewright.plans import queries as Q
+
+    rows = [(i, [((i * 37 + k * 11) % 100) / 100 - 0.5 for k in range(64)], i % 3) for i in range(20)] + [(20, None, 0), (21, [0.25], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    large = Q._large(spark, f"file://{tmp_path}", "dropout")
+    assert large.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    got = {(x.sample_id, x.y): x.total for x in Q._lines(large).collect()}
+    assert len(got) == 22 * 32
+    for i, v, _ in rows:
+        image = np.zeros(64)
+        image[: len(v or [])] = [int((np.float32(x).astype(float) + 1) * 127.5) / 255 for x in v or []]
+        image = image.reshape(8, 8).repeat(4, 0).repeat(4, 1)
+        assert all(abs(got[i, y] - (image[y] * np.arange(1, 33)).sum()) < 1e-4 for y in range(32))
+
+
+def test_enlarged_images_of_any_size(spark):
+    rows = [(1, 2, 3, [float(i) for i in range(12)]), (2, 1, 1, [7.0, 8.0]), (3, 1, 1, None)]
+    images = spark.createDataFrame(rows, "sample_id long, height int, width int, data array<double>").coalesce(1)
+    got = {x.sample_id: x for x in P.enlarge(images, 2, channels=2).collect()}
+    want = np.arange(12.0).reshape(2, 3, 2).repeat(2, 0).repeat(2, 1)
+    assert (got[1].height, got[1].width, got[1].data) == (4, 6, want.ravel().tolist())
+    assert got[2].data == [7.0, 8.0] * 4 and got[3].data is None
+    one = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, None), (3, [5.0, 6.0])], "i int, data array<double>").coalesce(1)
+    assert {x.i: x.s for x in one.select("i", P.line_sums(F.col("data"), 2).alias("s")).collect()} == {1: [5.0, 11.0], 2: None, 3: [17.0]}
