@@ -14,7 +14,7 @@ from ..operators import pixels as P
 from ..sources import io
 from ..sources.files import png_bytes, write_files
 from ..sources.runs import save_run, scoring_samples
-from ..sources.shared import shared_folder
+from ..sources.shared import checkpointed, shared_folder, spread
 from ..sources.tensors import image_struct, read_tensors, write_tensors
 from . import views as V
 from .queries import MANIFEST, OFF_TIES, RGB, SPLIT, _factors, _manifest, _rgb, _split, query, r, table
@@ -164,7 +164,7 @@ def k4(spark, d):
     path, rows = _folder(spark, "classes"), _run_classes(spark, d)
     io.write_class_table(rows, path)
     io.write_class_table(rows.where("run_id in ('r1', 'r3')"), path)
-    return spark.read.parquet(path).select("run_id", "class_name", "factor", "p_scale")
+    return io.read_by_run(spark, path).select("run_id", "class_name", "factor", "p_scale")
 
 
 @query("s7_read_p_scale", f"SELECT run_id, class_name, p_scale FROM ({RUN_CLASSES})")
@@ -180,7 +180,7 @@ def f3(spark, d):
     root = _folder(spark, "noisy")
     lines = _run_classes(spark, d).withColumn("line", F.concat("class_name", F.lit(": "), F.col("p_scale").cast("string"), F.lit("\n\n# "), "class_name", F.lit(": 9\n   \nno number: x\n")))
     texts = lines.groupBy("run_id").agg(F.array_join(F.collect_list("line"), "").alias("content"))
-    write_files(texts.select(F.concat("run_id", F.lit("/classes.txt")).alias("path"), "content"), root)
+    write_files(spread(texts, "run_id").select(F.concat("run_id", F.lit("/classes.txt")).alias("path"), "content"), root)
     return io.read_p_scale(spark, root).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
@@ -205,7 +205,7 @@ def k5(spark, d):
     rows = T.epoch_loss(V.v_history(spark, d)).withColumn("run_id", F.concat(F.lit("r"), F.col("run_id").cast("string"))).withColumn("loss", F.col("loss") + OFF_TIES)
     io.write_metric_history(rows, path)
     io.write_metric_history(rows.where("run_id = 'r2'"), path)
-    return spark.read.parquet(path).select("run_id", "phase", "epoch", "loss")
+    return io.read_by_run(spark, path).select("run_id", "phase", "epoch", "loss")
 
 
 K6 = "SELECT 'u' || user_id AS run_id, event_type AS section, 'k' AS key, CAST(count(*) AS BIGINT) AS int_value FROM events GROUP BY ALL"
@@ -218,11 +218,11 @@ def k6(spark, d):
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     part = F.concat(F.lit("["), "event_type", F.lit("]\n; note\nk = "), F.col("n").cast("string"))
     texts = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id")).agg(F.array_join(F.collect_list(part), "\n").alias("content"))
-    write_files(texts.select(F.concat("run_id", F.lit("/settings.ini")).alias("path"), "content"), root)
-    params = io.read_run_params(spark, root)
+    write_files(spread(texts, "run_id").select(F.concat("run_id", F.lit("/settings.ini")).alias("path"), "content"), root)
+    params = checkpointed(io.read_run_params(spark, root))
     for _ in range(2):
         io.write_run_params(params, path)
-    return spark.read.parquet(path).select("run_id", "section", "key", F.col("int_value").cast("long").alias("int_value"))
+    return io.read_by_run(spark, path).select("run_id", "section", "key", F.col("int_value").cast("long").alias("int_value"))
 
 
 @query(
