@@ -42,7 +42,7 @@ def _picture_folder(spark, d, flat: bool = False) -> str:
     """A folder of PNG files, one for each row of embeddings, by class; and a broken one in each class."""
     root, pictures = _folder(spark, "pictures"), _pictures(spark, d)
     place = F.col("file") if flat else F.concat_ws("/", "class_name", "file")
-    good = pictures.select(place.alias("path"), png_bytes("height", "width", F.lit(3), "data").alias("content"))
+    good = spread(pictures, "sample_id").select(place.alias("path"), png_bytes("height", "width", F.lit(3), "data").alias("content"))
     if flat:
         write_files(good, root)
         return root
@@ -79,8 +79,8 @@ def f1(spark, d):
 def s4(spark, d):
     """Every pixel of every file in its place; a broken file gives one row of -1."""
     images = io.decode_images(spark, _picture_folder(spark, d), keep_bad=True).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class_name"), _file_name(), "image.data")
-    good = images.select("class_name", "file", F.posexplode("data").alias("i", "v"))
-    return good.unionByName(images.where("data is null").select("class_name", "file", F.lit(-1).alias("i"), F.lit(-1.0).alias("v")))
+    pixels = images.select("class_name", "file", F.posexplode_outer("data").alias("i", "v"))
+    return pixels.withColumns({"i": F.coalesce("i", F.lit(-1)), "v": F.coalesce("v", F.lit(-1.0))})
 
 
 @query("s4_image_statistics", f"SELECT class_name, CAST(c AS INTEGER) AS channel, round(avg(v / 255), 6) AS mean, round(stddev_samp(v / 255), 6) AS std FROM ({COLOURS}) GROUP BY ALL")
@@ -238,7 +238,7 @@ def run_to_scoring(spark, d):
     """A run saves its lists over a folder of pictures; another reads them back. Its test list is each third file of a class."""
     pictures, root = _pictures(spark, d), _folder(spark, "saved")
     images = _folder(spark, "pictures")
-    write_files(pictures.select(F.concat_ws("/", "class_name", "file").alias("path"), png_bytes("height", "width", F.lit(3), "data").alias("content")), images)
+    write_files(spread(pictures, "sample_id").select(F.concat_ws("/", "class_name", "file").alias("path"), png_bytes("height", "width", F.lit(3), "data").alias("content")), images)
     manifest = M.sample_index(M.with_class_index(io.scan_images(spark, images)))
     factors = B.p_scale(B.repeat_factor(M.class_counts(manifest)))
     stats = P.stats_table(P.class_channel_stats(pictures.withColumn("data", P.scale_unit(F.col("data"), F.lit("uint8")))))

@@ -126,3 +126,30 @@ def test_decoded_files_come_in_bounded_partitions(spark, tmp_path):
     finally:
         for k, v in set_before.items():
             spark.conf.set(k, v)
+
+
+def test_pictures_are_written_in_many_tasks_and_read_once(spark, tmp_path):
+    """A table in one partition: its files come from many tasks, a broken one gives its row from the same scan, paths come in few partitions."""
+    from framewright.plans import file_queries as Q
+    from framewright.sources import io
+
+    rows = [(i, [((i * 37 + k * 11) % 100) / 100 - 0.5 for k in range(64)], i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    d, tracker = f"file://{tmp_path}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pictures", "pictures")
+    folder = Q._picture_folder(spark, d)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("pictures") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) >= 3 * spark.sparkContext.defaultParallelism
+    decoded = Q.s4(spark, d)
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    got = decoded.collect()
+    assert sum(x.i == -1 and x.v == -1.0 and x.file == "broken.png" for x in got) == 2 and len(got) == 40 * 192 + 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+        files = io.scan_images(spark, folder)
+        assert files.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism and files.count() == 42
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
