@@ -153,3 +153,15 @@ def test_pictures_are_written_in_many_tasks_and_read_once(spark, tmp_path):
         assert files.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism and files.count() == 42
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_statistics_decode_each_picture_once(spark, tmp_path):
+    from framewright.operators import pixels as P
+    from framewright.plans import file_queries as Q
+
+    rows = [(i, [((i * 37 + k * 11) % 100) / 100 - 0.5 for k in range(64)], i % 2) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    plan = Q.s4_stats(spark, f"file://{tmp_path}")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_rgb(") == 1
+    odd = spark.createDataFrame([("a", [0.0, 1.0]), ("a", None), ("a", []), ("b", None)], "class_name string, data array<double>")
+    assert [(x.class_name, x["mean"]) for x in P.class_channel_stats(odd, channels=1).collect()] == [("a", 0.5)]
